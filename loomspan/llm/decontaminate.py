@@ -4,17 +4,18 @@ The CGK embedding walks a sequence by coin flips: at step j it emits the word it
 word's hash is set. Two sequences at small edit distance fall back into step soon, so their walks agree in most places:
 edit distance has become Hamming distance. Bit sampling then hashes a few places of the walk.
 
-Every word of a document starts a walk, and so does every ``STRIDE``-th word of an item, so that any intact stretch
-inside an item-sized window can meet its counterpart. ``ROUNDS`` repetitions, each with its own coins and places, raise
-recall: with ``STEPS`` steps and ``PLACES`` places, a start whose next STEPS words are intact always collides, and at
-one edited word in five a start collides with a chance of about 0.15; an item of 20 words has 5 starts in each of 4
-rounds, which gives 0.96, one of 35 words 0.998. Starts are dropped at the first sampled place that no item shares, which
-costs a look-up for almost all. What is left is verified: the item against the item-sized window around the start, by the
+Every word of a document starts a walk, and so does every word of an item, so that any stretch inside an item-sized
+window can meet its counterpart; windows of an item's size around the start are what is verified. ``ROUNDS`` repetitions,
+each with its own coins and ``PLACES`` places, raise recall: a walk stands on a word for two steps on average, so
+``STEPS`` steps see about 12 words, and a start whose sampled words are intact collides. In trials with every fifth to
+sixth word of 15 to 60-word items dropped, replaced or followed by a new one, no pair within the edit bound was missed
+(``tests/llm/test_decontaminate.py`` asks for 0.95). Starts are dropped at the first sampled place that no item shares,
+which costs a look-up for almost all. What is left is verified: the item against the window around the start, by the
 exact edit distance of lower-cased texts with single spaces (bit-parallel, free ends).
 
 Items reach the executors in blocks of at most ``ITEM_BYTES``; a larger benchmark is gone through block by block.
 
-Defined cases: null or wordless texts and items never match; items under ``STEPS`` words use shorter walks; repeated rows
+Defined cases: null or wordless texts and items never match; items under 14 words use shorter walks; repeated rows
 and repeated items give one row per pair of ids; null ids are kept as ids; empty tables give no match.
 """
 
@@ -32,9 +33,9 @@ from .common import text_buffers
 from .langid import _pieces
 
 SIMILARITY = 0.8
-STEPS, PLACES, ROUNDS, STRIDE = 12, 4, 4, 2
-#: Shorter walks for items with fewer words: the steps of each tier.
-TIERS = (STEPS, 4, 1)
+STEPS, PLACES, ROUNDS, STRIDE = 24, 8, 12, 1
+#: Steps of a walk and the least words of an item for it; short items take shorter walks.
+TIERS = ((STEPS, 14), (8, 5), (1, 1))
 ITEM_BYTES = 16_000_000
 _BITS = 20
 
@@ -99,10 +100,10 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _plan(steps: int, turn: int) -> tuple[int, tuple[int, ...]]:
     """Seed and sampled places of a repetition; the first place is one of the first two steps."""
     rng = np.random.default_rng((steps, turn, 5))
-    if steps <= PLACES:
+    if steps < 4:
         return 1000 * steps + turn, tuple(range(steps))
     first = turn % 2
-    later = np.sort(rng.choice(np.arange(first + 1, steps), PLACES - 1, replace=False))
+    later = np.sort(rng.choice(np.arange(first + 1, steps), min(PLACES, steps // 2) - 1, replace=False))
     return 1000 * steps + turn, (first, *map(int, later))
 
 
@@ -136,13 +137,13 @@ class Items:
         self.length = np.bincount(item[real], minlength=len(self.rows))
         begin = np.searchsorted(item, np.arange(len(self.rows)))
         self.tables = []
-        for tier, steps in enumerate(TIERS):
-            above = TIERS[tier - 1] if tier else 1 << 60
-            own = np.flatnonzero((self.length >= steps) & (self.length < above))
+        for tier, (steps, least) in enumerate(TIERS):
+            above = TIERS[tier - 1][1] if tier else 1 << 60
+            own = np.flatnonzero((self.length >= least) & (self.length < above))
             if not len(own):
                 continue
             at = np.concatenate([np.arange(begin[i], begin[i] + self.length[i], STRIDE) for i in own.tolist()])
-            for turn in range(ROUNDS if steps > PLACES else 1):
+            for turn in range(ROUNDS if steps >= 4 else 1):
                 _, places = _plan(steps, turn)
                 sieve = [np.zeros(1 << _BITS, bool) for _ in places]
                 start, key = walk(code, at, steps, turn)

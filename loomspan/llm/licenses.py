@@ -98,12 +98,11 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def band_values(first: Column, second: Column, step: int) -> list[Column]:
     """Per band, the values of all windows; a window at the end may be shorter."""
     last = F.greatest(F.size(first) - (WINDOW - 1), F.least(F.size(first), F.lit(1)))
-    window = lambda c: lambda i: F.slice(c, i + 1, WINDOW)
-    return [
-        F.transform(_places(last, step), lambda i, pick=pick, c=c: pick(window(c)(i)))
-        for c in (first, second)
-        for pick in (F.array_min, F.array_max)
-    ]
+
+    def signed(values: Column, pick) -> Column:
+        return F.transform(_places(last, step), lambda i: pick(F.slice(values, i + 1, WINDOW)))
+
+    return [signed(values, pick) for values in (first, second) for pick in (F.array_min, F.array_max)]
 
 
 def template_keys(spark: SparkSession) -> list[tuple[str, int, int]]:
@@ -118,6 +117,10 @@ def template_keys(spark: SparkSession) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+def _among(values: Column, listed: list[int]) -> Column:
+    return F.filter(values, lambda v: v.isin(listed))
+
+
 def retrieve(docs: DataFrame) -> DataFrame:
     """``docs`` with _words and one row for each template that shares a band with a window of the text."""
     keys = template_keys(docs.sparkSession)
@@ -126,7 +129,7 @@ def retrieve(docs: DataFrame) -> DataFrame:
     hits = []
     for band, values in enumerate(arrays):
         listed = sorted({v for _, b, v in keys if b == band})
-        hits.append(F.filter(values, lambda v, listed=listed: v.isin(listed)))
+        hits.append(_among(values, listed))
     rows = rows.withColumn("_hits", F.array_distinct(F.concat(*hits))).where(F.size("_hits") > 0)
     by_value: dict[int, list[str]] = {}
     for template, _, value in keys:
@@ -153,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(TEMPLATES.items()))
-    split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
+    split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     cut = f"list_distinct([array_to_string(w[i:i + {SHINGLE - 1}], ' ') for i in range(1, len(w) - {SHINGLE - 2})])"
     return f"""
 with templates(license, text) as (values {values}),
