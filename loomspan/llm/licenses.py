@@ -130,7 +130,11 @@ def retrieve(docs: DataFrame) -> DataFrame:
     for band, values in enumerate(arrays):
         listed = sorted({v for _, b, v in keys if b == band})
         hits.append(_among(values, listed))
-    rows = rows.withColumn("_hits", F.array_distinct(F.concat(*hits))).where(F.size("_hits") > 0)
+    # the row number keeps the optimiser from moving the filter below the arrays, where it would compute each of them
+    # again for every element
+    rows = rows.select(
+        *docs.columns, "_words", F.array_distinct(F.concat(*hits)).alias("_hits"), F.monotonically_increasing_id().alias("_row")
+    ).where("size(_hits) > 0 and _row >= 0")
     by_value: dict[int, list[str]] = {}
     for template, _, value in keys:
         by_value.setdefault(value, [])
