@@ -36,7 +36,7 @@ SAMPLE = 20_000
 LEXICON = 20_000
 STEMS = (4, 5, 6)
 #: Share of toxic documents (after smoothing) from which a word or beginning counts, and least such documents.
-SHARE, LEAST, SMOOTH = 0.6, 3, 5.0
+SHARE, LEAST, SMOOTH = 0.7, 3, 3.0
 
 INSULT = "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb fool idiota estúpido imbécil idiote stupide imbécile dumm blöd dummkopf".split()
 THREAT = "kill hurt destroy beat stab shoot burn matar golpear tuer frapper töten schlagen".split()
@@ -116,7 +116,7 @@ class Grammar:
                 found = TAGS.index("insult"), weight
             else:
                 found = TAGS.index(fixed), 2.0 if fixed in ("insult", "threat") else 0.0
-            if len(self.tags) > 1_000_000:
+            if len(self.tags) > 400_000:
                 self.tags.clear()
             self.tags[word] = found
         return found
@@ -174,42 +174,46 @@ def _learning(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return texts.join(F.broadcast(own), "doc_id").select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Word classes and weights from labelled documents outside the fold crc32(doc_id) mod 5 = 0."""
-    rows = cut(_learning(docs, labels, sample))
+def _telling(rows: DataFrame, base: float, known: frozenset[str]) -> dict[str, float]:
+    """Words whose documents are toxic by a wide margin, with log odds; with ``known`` words, beginnings of all others.
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Beginnings are counted without known words, so that one such word does not lend its weight to all that start alike.
+    """
+
+    def features(text: str) -> set[str]:
+        own = set(_WORD.findall(text.lower()))
+        return own if not known else {w[:n] + "*" for w in own - known for n in STEMS if len(w) >= n}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                own = set(_WORD.findall(text.lower()))
-                seen[toxic > 0].update(own | {w[:n] + "*" for w in own for n in STEMS if len(w) >= n})
-            kept = list(seen[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kept, pa.string()), pa.array([seen[1][w] for w in kept], pa.int64()), pa.array([seen[0][w] for w in kept], pa.int64())],
-                ["word", "bad", "good"],
-            )
-            # a word never seen in a toxic document of any batch cannot be chosen; one seen in another batch needs its
-            # clean count from here
-            rest = [w for w in seen[0] if w not in seen[1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([seen[0][w] for w in rest], pa.int64())],
-                ["word", "bad", "good"],
-            )
+                seen[toxic > 0].update(features(text))
+            every = list(seen[0] | seen[1])
+            columns = [pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in (seen[1], seen[0]))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "bad", "good"])
 
-    by_class = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    bad_n, good_n = by_class.get(1, 0), by_class.get(0, 0)
-    if not bad_n or not good_n:
-        return Grammar({})
-    base = bad_n / (bad_n + good_n)
     share = (F.col("bad") + SMOOTH * base) / (F.col("bad") + F.col("good") + SMOOTH)
     chosen = (
-        rows.mapInArrow(words, "word string, bad long, good long")
+        rows.mapInArrow(run, "word string, bad long, good long")
         .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where(F.col("bad") >= LEAST).withColumn("share", share).where(F.col("share") >= SHARE)
         .orderBy(F.desc("share"), "word").limit(LEXICON).select("word", "share").collect()
     )
-    grammar = Grammar({r["word"]: float(np.log(r["share"] / (1 - r["share"])) + 2.0) for r in chosen})
+    return {r["word"]: float(np.log(r["share"] / (1 - r["share"])) + 2.0) for r in chosen}
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
+    """Word classes and weights from labelled documents outside the fold crc32(doc_id) mod 5 = 0."""
+    rows = cut(_learning(docs, labels, sample))
+
+    by_class = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    bad_n, good_n = by_class.get(1, 0), by_class.get(0, 0)
+    if not bad_n or not good_n:
+        return Grammar({})
+    base = bad_n / (bad_n + good_n)
+    whole = _telling(rows, base, frozenset())
+    grammar = Grammar(whole | _telling(rows, base, frozenset(whole) | {""}))
     shared = rows.sparkSession.sparkContext.broadcast(grammar.learned)
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
