@@ -10,17 +10,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomspan.functions.maths import hashed_uniform
 
-IMAGE = Window.partitionBy("image_id")
+
+
+def image() -> WindowSpec:
+    """All pixels of an image."""
+    return Window.partitionBy("image_id")
 
 
 def normalize(pixels: DataFrame) -> DataFrame:
     """To [0, 1] per image; a constant image is unchanged."""
-    lo, hi = F.min("v").over(IMAGE), F.max("v").over(IMAGE)
+    lo, hi = F.min("v").over(image()), F.max("v").over(image())
     return pixels.withColumn("v", F.when(hi > lo, (F.col("v") - lo) / (hi - lo)).otherwise(F.col("v")))
 
 
@@ -71,7 +75,7 @@ def gaussian(pixels: DataFrame, sigma: float) -> DataFrame:
 def unsharp(pixels: DataFrame, sigma: float, amount: float) -> DataFrame:
     """v + amount (v - blurred), within the range of the image."""
     both = pixels.withColumn("keep", F.col("v"))
-    lo, hi = F.min("keep").over(IMAGE), F.max("keep").over(IMAGE)
+    lo, hi = F.min("keep").over(image()), F.max("keep").over(image())
     out = gaussian(both, sigma)
     return out.select("image_id", "r", "c", F.least(F.greatest(F.col("keep") + amount * (F.col("keep") - F.col("v")), lo), hi).alias("v"))
 
@@ -86,7 +90,7 @@ def four_neighbours(pixels: DataFrame) -> DataFrame:
 
 def laplacian(pixels: DataFrame, strength: float) -> DataFrame:
     """v - strength * Laplacian, within the range of the image."""
-    lo, hi = F.min("v").over(IMAGE), F.max("v").over(IMAGE)
+    lo, hi = F.min("v").over(image()), F.max("v").over(image())
     lap = F.col("up") + F.col("down") + F.col("left") + F.col("right") - 4.0 * F.col("v")
     return four_neighbours(pixels).select("image_id", "r", "c", F.least(F.greatest(F.col("v") - strength * lap, lo), hi).alias("v"))
 
@@ -110,7 +114,7 @@ def adaptive(pixels: DataFrame, sigma: float) -> DataFrame:
 def dark_field(pixels: DataFrame, power: float, low: float, high: float, cut: float) -> DataFrame:
     """Normalised, inverted, gamma, stretched between two exact percentiles, values under ``cut`` to zero."""
     out = normalize(pixels).withColumn("v", F.pow(1.0 - F.col("v"), F.lit(power)))
-    a, b = F.percentile("v", F.lit(low)).over(IMAGE), F.percentile("v", F.lit(high)).over(IMAGE)
+    a, b = F.percentile("v", F.lit(low)).over(image()), F.percentile("v", F.lit(high)).over(image())
     out = out.withColumn("v", F.when(b > a, F.least(F.greatest((F.col("v") - a) / (b - a), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("v")))
     return out.withColumn("v", F.when(F.col("v") < cut, F.lit(0.0)).otherwise(F.col("v")))
 
@@ -165,7 +169,7 @@ def blend(pixels: DataFrame, color: float, opacity: float, shape: tuple[int, int
 
 def equalize(pixels: DataFrame) -> DataFrame:
     """Histogram equalisation of each image: the share of pixels at or below the value."""
-    return pixels.withColumn("v", F.cume_dist().over(IMAGE.orderBy("v")))
+    return pixels.withColumn("v", F.cume_dist().over(image().orderBy("v")))
 
 
 def clahe(pixels: DataFrame, shape: tuple[int, int], tile: int = 4, clip: float = 0.03, bins: int = 32) -> DataFrame:
@@ -211,3 +215,58 @@ def lpsvd(pixels: DataFrame, rank: int = 3) -> DataFrame:
         return table.set_column(table.schema.get_field_index("v"), "v", pa.array(out))
 
     return pixels.groupBy("image_id").applyInArrow(run, pixels.schema)
+
+
+def elastic(pixels: DataFrame, shape: tuple[int, int], spacing: int, strength: float, seed: int = 42) -> DataFrame:
+    """Each pixel takes the bilinear value at its place moved by a smooth hashed field.
+
+    The coarse field's corner values are hashes of the corner's place, so the field needs no join; the four source pixels
+    are one equi-join.
+    """
+    def field(axis: str) -> Column:
+        y0, x0 = F.floor(F.col("r") / spacing), F.floor(F.col("c") / spacing)
+        wy, wx = F.col("r") / spacing - y0, F.col("c") / spacing - x0
+        corner = lambda a, b: 2.0 * hashed_uniform(F.lit(seed), F.lit(axis), "image_id", y0 + a, x0 + b) - 1.0
+        return strength * ((1 - wy) * ((1 - wx) * corner(0, 0) + wx * corner(0, 1)) + wy * ((1 - wx) * corner(1, 0) + wx * corner(1, 1)))
+
+    clamp = lambda e, n: F.least(F.greatest(e, F.lit(0.0)), F.lit(n - 1.0))
+    moved = pixels.select("image_id", "r", "c", clamp(F.col("r") + field("y"), shape[0]).alias("sy"), clamp(F.col("c") + field("x"), shape[1]).alias("sx"))
+    for a, n in (("y", shape[0]), ("x", shape[1])):
+        moved = moved.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(1))))
+        moved = moved.withColumn(f"q{a}", F.least(F.floor(f"s{a}") + F.col("o"), F.lit(n - 1)).cast("int"))
+        share = F.col(f"s{a}") - F.floor(f"s{a}")
+        moved = moved.withColumn(f"w{a}", F.when(F.col("o") == 1, share).otherwise(1.0 - share)).drop("o")
+    source = pixels.select("image_id", F.col("r").alias("qy"), F.col("c").alias("qx"), "v")
+    return moved.join(source, ["image_id", "qy", "qx"]).groupBy("image_id", "r", "c").agg(F.sum(F.col("wy") * F.col("wx") * F.col("v")).alias("v"))
+
+
+def random_walks(spark, walks: int, steps: int, center: tuple[float, float], radius: float, bend: float = 0.4, seed: int = 42) -> DataFrame:
+    """(walk, step, r, c): short walks that radiate from a disc; headings turn by hashed angles, summed by windows."""
+    u = lambda *tags: hashed_uniform(F.lit(seed), *(F.lit(t) if isinstance(t, str) and t.startswith("#") else t for t in tags))
+    order = Window.partitionBy("walk").orderBy("step")
+    out = spark.range(walks).select(F.col("id").alias("walk"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    turn = F.when(F.col("step") == 0, u("#heading", "walk") * (2 * math.pi)).otherwise((u("#turn", "walk", "step") - 0.5) * (2 * bend))
+    out = out.withColumn("heading", F.sum(turn).over(order))
+    start = radius * F.sqrt(u("#start", "walk"))
+    along = u("#around", "walk") * (2 * math.pi)
+    moved = F.when(F.col("step") == 0, F.lit(0.0))
+    return out.select(
+        "walk", "step",
+        (center[0] + start * F.sin(along) + F.sum(moved.otherwise(F.sin("heading"))).over(order)).alias("r"),
+        (center[1] + start * F.cos(along) + F.sum(moved.otherwise(F.cos("heading"))).over(order)).alias("c"),
+    )
+
+
+def otsu_mask(pixels: DataFrame, bins: int = 50) -> DataFrame:
+    """(image_id, r, c) of pixels above the threshold that parts the histogram of each image best."""
+    def run(table: pa.Table) -> pa.Table:
+        v = table.column("v").to_numpy()
+        hist, edges = np.histogram(v, bins)
+        mid = (edges[1:] + edges[:-1]) / 2
+        low, total = np.cumsum(hist), np.cumsum(hist * mid)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.nan_to_num(total / low - (total[-1] - total) / (low[-1] - low))
+        cut = edges[1:][(low * (low[-1] - low) * gap**2).argmax()]
+        return table.filter(pa.array(v > cut)).select(["image_id", "r", "c"])
+
+    return pixels.select("image_id", "r", "c", "v").groupBy("image_id").applyInArrow(run, "image_id long, r int, c int")

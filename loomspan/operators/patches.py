@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.maths import hashed_uniform
+from loomspan.operators.streamlines import ordered, whole
 
 AXES = ("x", "y", "z")
-OWN = Window.partitionBy("streamline_id")
 
 
 def boxes(spark: SparkSession, n: int, low: Sequence[float], high: Sequence[float], half: Sequence[float], seed: int = 42) -> DataFrame:
@@ -89,9 +89,9 @@ def filter_patch(points: DataFrame, low: Sequence[float], high: Sequence[float],
     for a, lo, hi in zip(AXES, low, high):
         hit = hit & F.col(a).between(lo + margin, hi - margin)
     idx = F.when(hit, F.col("point_idx"))
-    out = points.withColumns({"first": F.min(idx).over(OWN), "last": F.max(idx).over(OWN)})
+    out = points.withColumns({"first": F.min(idx).over(whole()), "last": F.max(idx).over(whole())})
     out = out.where((F.col("point_idx") >= F.col("first") - around) & (F.col("point_idx") <= F.col("last") + around))
-    out = out.withColumn("n", F.count("*").over(OWN)).where("n >= 2")
+    out = out.withColumn("n", F.count("*").over(whole())).where("n >= 2")
     moved = [F.least(F.greatest(F.col(a) - lo, F.lit(0.0)), F.lit(hi - lo - 0.001)).alias(a) for a, lo, hi in zip(AXES, low, high)]
     return out.select("streamline_id", "point_idx", *moved)
 
@@ -102,8 +102,8 @@ def filter_patch_legacy(points: DataFrame, low: Sequence[float], high: Sequence[
     for a, lo, hi in zip(AXES, low, high):
         hit = hit & (F.col(a) >= lo) & (F.col(a) < hi)
     idx = F.when(hit, F.col("point_idx"))
-    out = points.withColumns({"first": F.min(idx).over(OWN), "last": F.max(idx).over(OWN), "hits": F.count(idx).over(OWN)})
-    out = out.where("hits >= 2 and point_idx between first - 5 and last + 5").withColumn("n", F.count("*").over(OWN)).where("n >= 5")
+    out = points.withColumns({"first": F.min(idx).over(whole()), "last": F.max(idx).over(whole()), "hits": F.count(idx).over(whole())})
+    out = out.where("hits >= 2 and point_idx between first - 5 and last + 5").withColumn("n", F.count("*").over(whole())).where("n >= 5")
     moved = [F.least(F.greatest(F.col(a) - lo, F.lit(0.0)), F.lit(hi - lo - 0.01)).alias(a) for a, lo, hi in zip(AXES, low, high)]
     return out.select("streamline_id", "point_idx", *moved)
 
@@ -204,7 +204,7 @@ def mask_streamlines(points: DataFrame, mask: DataFrame, shape: Sequence[int], a
 
 def mask_segments(points: DataFrame, mask: DataFrame, shape: Sequence[int]) -> DataFrame:
     """(streamline_id, point_idx) of segments with either end in the mask."""
-    order = OWN.orderBy("point_idx")
+    order = ordered()
     out = in_mask(points, mask, shape).withColumn("next", F.lead("marked").over(order))
     return out.where("next is not null and (marked or next)").select("streamline_id", "point_idx")
 

@@ -9,14 +9,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomspan.functions.maths import norm
 
 AXES = ("x", "y", "z")
-OWN = Window.partitionBy("streamline_id")
-ORDERED = OWN.orderBy("point_idx")
+
+
+def whole() -> WindowSpec:
+    """A streamline."""
+    return Window.partitionBy("streamline_id")
+
+
+def ordered() -> WindowSpec:
+    """A streamline in the order of its points."""
+    return whole().orderBy("point_idx")
 
 
 def affine(points: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:
@@ -33,9 +41,9 @@ def to_voxel(points: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:
 
 def segments(points: DataFrame) -> DataFrame:
     """Adds the next point (nx, ny, nz), the segment's length d, and the arc length s where it starts."""
-    out = points.withColumns({f"n{a}": F.lead(a).over(ORDERED) for a in AXES})
+    out = points.withColumns({f"n{a}": F.lead(a).over(ordered()) for a in AXES})
     out = out.withColumn("d", F.coalesce(norm(*(F.col(f"n{a}") - F.col(a) for a in AXES)), F.lit(0.0)))
-    return out.withColumn("s", F.sum("d").over(ORDERED.rowsBetween(Window.unboundedPreceding, -1))).fillna({"s": 0.0})
+    return out.withColumn("s", F.sum("d").over(ordered().rowsBetween(Window.unboundedPreceding, -1))).fillna({"s": 0.0})
 
 
 def lengths(points: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def lengths(points: DataFrame) -> DataFrame:
 def _gradient(df: DataFrame, names: Sequence[str], out: Sequence[str]) -> DataFrame:
     """Central differences, one-sided at both ends."""
     def at(c: str) -> Column:
-        back, ahead = F.lag(c).over(ORDERED), F.lead(c).over(ORDERED)
+        back, ahead = F.lag(c).over(ordered()), F.lead(c).over(ordered())
         return F.when(back.isNull(), ahead - F.col(c)).when(ahead.isNull(), F.col(c) - back).otherwise((ahead - back) / 2.0)
 
     return df.withColumns({o: at(c) for c, o in zip(names, out)})
@@ -53,7 +61,7 @@ def _gradient(df: DataFrame, names: Sequence[str], out: Sequence[str]) -> DataFr
 
 def frames(points: DataFrame, eps: float = 1e-10, floor: float = 1e-10) -> DataFrame:
     """Adds unit tangents t*, their derivative b* and curvature; streamlines under three points are left out."""
-    out = points.withColumn("n_points", F.count("*").over(OWN)).where("n_points >= 3")
+    out = points.withColumn("n_points", F.count("*").over(whole())).where("n_points >= 3")
     out = _gradient(out, AXES, ("gx", "gy", "gz"))
     size = norm(F.col("gx"), F.col("gy"), F.col("gz"))
     out = out.withColumn("g", F.when(size > eps, size).otherwise(F.lit(floor)))
@@ -80,7 +88,7 @@ def torsion(points: DataFrame) -> DataFrame:
     )
     out = out.withColumns(dict(zip(("cx", "cy", "cz"), cross)))
     size = norm(F.col("cx"), F.col("cy"), F.col("cz"))
-    inner = (F.col("point_idx") > F.min("point_idx").over(OWN)) & (F.col("point_idx") < F.max("point_idx").over(OWN))
+    inner = (F.col("point_idx") > F.min("point_idx").over(whole())) & (F.col("point_idx") < F.max("point_idx").over(whole()))
     dot = F.col("cx") * F.col("ux") + F.col("cy") * F.col("uy") + F.col("cz") * F.col("uz")
     out = out.withColumn("torsion", F.when(inner & (size > 1e-12), dot / (size * size)).otherwise(F.lit(0.0)))
     return out.groupBy("streamline_id").agg(F.avg(F.abs("torsion")).alias("mean_torsion"))
@@ -127,9 +135,9 @@ def clip_segments(points: DataFrame, shape: Sequence[float]) -> DataFrame:
     A single outside point between inside points gives its exit piece only.
     """
     out = points.withColumn("inside", inside(shape))
-    out = out.withColumn("run", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(ORDERED))
-    out = out.withColumns({f"p{a}": F.lag(a).over(ORDERED) for a in AXES} | {f"n{a}": F.lead(a).over(ORDERED) for a in AXES})
-    out = out.withColumns({"was": F.lag("inside").over(ORDERED), "will": F.lead("inside").over(ORDERED)})
+    out = out.withColumn("run", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(ordered()))
+    out = out.withColumns({f"p{a}": F.lag(a).over(ordered()) for a in AXES} | {f"n{a}": F.lead(a).over(ordered()) for a in AXES})
+    out = out.withColumns({"was": F.lag("inside").over(ordered()), "will": F.lead("inside").over(ordered())})
     own = Window.partitionBy("streamline_id", "run", "inside")
     runs = (
         out.where("inside")
@@ -156,7 +164,7 @@ def clip_segments(points: DataFrame, shape: Sequence[float]) -> DataFrame:
 def clip_joined(points: DataFrame, shape: Sequence[float]) -> DataFrame:
     """Outside points dropped, the rest joined to one polyline of two or more points, renumbered."""
     kept = points.where(inside(shape)).withColumns(
-        {"pos": F.row_number().over(ORDERED) - 1, "n": F.count("*").over(OWN)}
+        {"pos": F.row_number().over(ordered()) - 1, "n": F.count("*").over(whole())}
     )
     return kept.where("n >= 2").select("streamline_id", "pos", *AXES)
 
@@ -165,8 +173,8 @@ def slab_clip(points: DataFrame, center: float, half: float) -> DataFrame:
     """(streamline_id, seg_start, pos, x, y, z): runs within the slab along y, each with the point where it leaves."""
     low, high = center - half, center + half
     out = points.withColumn("inside", F.col("y").between(low, high))
-    out = out.withColumn("run", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(ORDERED))
-    out = out.withColumns({f"p{a}": F.lag(a).over(ORDERED) for a in AXES} | {"was": F.lag("inside").over(ORDERED)})
+    out = out.withColumn("run", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(ordered()))
+    out = out.withColumns({f"p{a}": F.lag(a).over(ordered()) for a in AXES} | {"was": F.lag("inside").over(ordered())})
     t = (F.when(F.col("y") < low, F.lit(low)).otherwise(F.lit(high)) - F.col("py")) / (F.col("y") - F.col("py"))
     leaving = [(F.col(f"p{a}") + t * (F.col(a) - F.col(f"p{a}"))).alias(a) for a in AXES]
     kept = out.where("inside").select("streamline_id", "point_idx", "run", *AXES).unionByName(
@@ -182,8 +190,8 @@ def slab_clip(points: DataFrame, center: float, half: float) -> DataFrame:
 
 def slab_rule(points: DataFrame, center: float, half: float, short: int = 5) -> DataFrame:
     """Streamlines of up to ``short`` points whole if any point is in the slab, longer ones clipped."""
-    counted = points.withColumn("n", F.count("*").over(OWN))
-    hit = F.max(F.abs(F.col("y") - center) <= half).over(OWN)
+    counted = points.withColumn("n", F.count("*").over(whole()))
+    hit = F.max(F.abs(F.col("y") - center) <= half).over(whole())
     whole = counted.where(F.col("n") <= short).withColumn("hit", hit).where("hit").select(
         "streamline_id", F.lit(0).alias("seg_start"), F.col("point_idx").alias("pos"), *AXES
     )
@@ -202,8 +210,8 @@ def densify(points: DataFrame, step: float, method: str = "linear", count: str =
     ``count``: "ceil" gives ceil(L / step) + 1 points, "floor" max(int(L / step), 2). The new points of each segment are
     generated from the segment itself, so no join is needed to find the bracketing pair.
     """
-    out = segments(points).withColumns({"total": F.max(F.col("s") + F.col("d")).over(OWN), "n_points": F.count("*").over(OWN)})
-    out = out.withColumn("last", F.col("point_idx") == F.max("point_idx").over(OWN))
+    out = segments(points).withColumns({"total": F.max(F.col("s") + F.col("d")).over(whole()), "n_points": F.count("*").over(whole())})
+    out = out.withColumn("last", F.col("point_idx") == F.max("point_idx").over(whole()))
     unchanged = out.where((F.col("total") < step) | (F.col("n_points") < 2)).select(
         "streamline_id", F.col("point_idx").alias("pos"), *AXES
     )
@@ -213,7 +221,7 @@ def densify(points: DataFrame, step: float, method: str = "linear", count: str =
         out = _tangents(out, step, method)
     gap = F.col("total") / (F.col("n") - 1)
     # positions q = gap * m from s to before the next point's s; the last position belongs to the last segment with a length
-    out = out.withColumns({"ns": F.lead("s").over(ORDERED), "last_long": F.max(F.when(F.col("d") > 0, F.col("point_idx"))).over(OWN)})
+    out = out.withColumns({"ns": F.lead("s").over(ordered()), "last_long": F.max(F.when(F.col("d") > 0, F.col("point_idx"))).over(whole())})
     final = F.col("point_idx") == F.col("last_long")
     out = out.where("not last and d > 0").withColumns({
         "lo": F.ceil(F.col("s") / gap), "hi": F.when(final, F.col("n") - 1).otherwise(F.ceil(F.col("ns") / gap) - 1),
@@ -235,22 +243,22 @@ def densify(points: DataFrame, step: float, method: str = "linear", count: str =
 
 def _tangents(out: DataFrame, step: float, method: str) -> DataFrame:
     """Adds tangents m* at each point and nm* at the next one, scaled as for a curve over normalised arc length."""
-    ends = F.lag("x").over(ORDERED).isNull(), F.col("last")
+    ends = F.lag("x").over(ordered()).isNull(), F.col("last")
     raw = {}
     for a in AXES:
-        back, ahead = F.lag(a).over(ORDERED), F.lead(a).over(ORDERED)
+        back, ahead = F.lag(a).over(ordered()), F.lead(a).over(ordered())
         centre = (ahead - back) * (0.5 if method == "catmull" else 1.0)
         raw[f"r{a}"] = F.when(ends[0], ahead - F.col(a)).when(ends[1], F.col(a) - back).otherwise(centre)
     out = out.withColumns(raw).withColumn("r", norm(F.col("rx"), F.col("ry"), F.col("rz")))
     if method == "catmull":
         scale = F.lit(3.0 * step)
     else:
-        before = F.lag("d").over(ORDERED)
-        mean = F.avg("d").over(ORDERED.rowsBetween(-2, 0))
+        before = F.lag("d").over(ordered())
+        mean = F.avg("d").over(ordered().rowsBetween(-2, 0))
         scale = 2.0 * F.when(ends[0], F.col("d")).when(ends[1], before).otherwise(mean)
     out = out.withColumn("k", F.when(F.col("r") > 1e-10, scale / F.col("r")).otherwise(F.lit(1.0)))
     out = out.withColumns({f"m{a}": F.col(f"r{a}") * F.col("k") for a in AXES})
-    return out.withColumns({f"nm{a}": F.lead(f"m{a}").over(ORDERED) for a in AXES})
+    return out.withColumns({f"nm{a}": F.lead(f"m{a}").over(ordered()) for a in AXES})
 
 
 def compare_methods(points: DataFrame, step: float) -> DataFrame:
@@ -308,3 +316,45 @@ def profile(points: DataFrame) -> DataFrame:
     )
     most = F.greatest(*(F.abs(F.col(f"{m}_{a}")) for a in AXES for m in ("min", "max")))
     return out.withColumn("is_world", most > 1000)
+
+
+def densify_rbf(points: DataFrame, step: float, smoothing: float = 1e-6) -> DataFrame:
+    """Thin-plate spline over arc length per streamline, scaled about its mean to keep the length.
+
+    Under four points, or shorter than ``step``: unchanged. A dense solve per streamline, so it runs in Arrow batches of
+    one streamline.
+    """
+    import pyarrow as pa
+
+    def solve(s: np.ndarray, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        # arc length is brought to [0, 1]; kernel r^2 log r with a linear trend, smoothing on the diagonal
+        s, at = s / s[-1], at / s[-1]
+        kernel = lambda r: np.where(r > 0, r * r * np.log(np.where(r > 0, r, 1.0)), 0.0)
+        n = len(s)
+        system = np.zeros((n + 2, n + 2))
+        system[:n, :n] = kernel(np.abs(s[:, None] - s)) + smoothing * np.eye(n)
+        system[:n, n:] = np.stack([np.ones(n), s], 1)
+        system[n:, :n] = system[:n, n:].T
+        weight = np.linalg.solve(system, np.vstack([p, np.zeros((2, 3))]))
+        return kernel(np.abs(at[:, None] - s)) @ weight[:n] + np.stack([np.ones(len(at)), at], 1) @ weight[n:]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point_idx")
+        p = np.stack([table.column(a).to_numpy() for a in AXES], 1)
+        d = np.linalg.norm(np.diff(p, axis=0), axis=1)
+        total = d.sum()
+        if len(p) >= 4 and total >= step:
+            keep = np.concatenate(([True], d > 0))
+            s = np.concatenate(([0.0], np.cumsum(d)))
+            p = solve(s[keep], p[keep], np.linspace(0, total, max(int(np.ceil(total / step)), 2)))
+            size = np.linalg.norm(np.diff(p, axis=0), axis=1).sum()
+            if size > 0:
+                p = p.mean(0) + (p - p.mean(0)) * (total / size)
+        first = table.column("streamline_id")[0].as_py()
+        return pa.Table.from_arrays(
+            [pa.array([first] * len(p), pa.int64()), pa.array(np.arange(len(p)), pa.int32()), *(pa.array(c) for c in p.T)],
+            ["streamline_id", "pos", *AXES],
+        )
+
+    doubles = points.select("streamline_id", "point_idx", *(F.col(a).cast("double").alias(a) for a in AXES))
+    return doubles.groupBy("streamline_id").applyInArrow(run, "streamline_id long, pos int, x double, y double, z double")

@@ -703,3 +703,36 @@ def clahe(x: DataFrame) -> DataFrame:
 @query(pixels)
 def lpsvd(x: DataFrame) -> DataFrame:
     return images.lpsvd(x)
+
+
+@query(points)
+def densify_rbf(p: DataFrame) -> DataFrame:
+    return streamlines.densify_rbf(p, STEP)
+
+
+_EL = {a: [_u(f"'{a}'", "image_id", f"(r // 4 + {i})", f"(c // 4 + {j})") for i in (0, 1) for j in (0, 1)] for a in "yx"}
+
+
+def _field(a: str) -> str:
+    y, x = "(r / 4.0e0 - r // 4)", "(c / 4.0e0 - c // 4)"
+    w = [f"(1 - {y}) * (1 - {x})", f"(1 - {y}) * {x}", f"{y} * (1 - {x})", f"{y} * {x}"]
+    return "1.5e0 * (" + " + ".join(f"{p} * (2.0e0 * {u} - 1.0e0)" for p, u in zip(w, _EL[a])) + ")"
+
+
+@query(pixels, PIX + f""",
+m as (select image_id, r, c, least(greatest(r + {_field('y')}, 0.0), 7.0) as sy, least(greatest(c + {_field('x')}, 0.0), 7.0) as sx from pixels),
+q as (select m.*, a.range as a, b.range as b, least(cast(floor(sy) as integer) + a.range, 7) as qy, least(cast(floor(sx) as integer) + b.range, 7) as qx from m, range(2) a, range(2) b)
+select q.image_id, q.r, q.c, round(sum((case when a = 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) * (case when b = 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) * p.v), 6) + 0.0 as v
+from q join pixels p on p.image_id = q.image_id and p.r = qy and p.c = qx group by 1, 2, 3""")
+def elastic_deformation(x: DataFrame) -> DataFrame:
+    return images.elastic(x, IMG, 4, 1.5)
+
+
+@query(pixels)
+def injection_walks(x: DataFrame) -> DataFrame:
+    return images.random_walks(x.sparkSession, 400, 30, (100.0, 100.0), 6.0)
+
+
+@query(pixels)
+def brain_mask(x: DataFrame) -> DataFrame:
+    return images.otsu_mask(x)

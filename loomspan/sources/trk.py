@@ -68,8 +68,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.trk").load(path).select("path", "length").orderBy("path")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """All points of all TRK files of a folder, a bounded number of streamlines at a time."""
+def decode(files: DataFrame) -> DataFrame:
+    """Points of files given as (path, content), a bounded number of streamlines at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["tract_id", "streamline_id", "point_idx", "x", "y", "z"]
@@ -85,10 +85,14 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield _rows(row["path"], first, held, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.trk").load(path)
     return files.select(F.col("path"), F.col("content")).mapInArrow(run, POINT_SCHEMA)
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """All points of all TRK files of a folder."""
+    return decode(spark.read.format("binaryFile").option("pathGlobFilter", "*.trk").load(path))
+
+
 def _rows(path: str, first: int, lines: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     n = np.array([len(x) for x in lines])
     every = np.concatenate(lines)

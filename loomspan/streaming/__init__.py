@@ -1 +1 @@
-"""Part of loomspan."""
+"""Structured Streaming over the engine's sources."""

@@ -98,3 +98,12 @@ def test_trk_round_trip(spark, tmp_path):
     got = trk.read_points(spark, str(tmp_path)).orderBy("streamline_id", "point_idx").collect()
     assert np.allclose([[r["x"], r["y"], r["z"]] for r in got], np.concatenate(wanted), atol=1e-5)
     assert math.isclose(streamlines.lengths(trk.read_points(spark, str(tmp_path))).where("streamline_id = 0").first()["length"], np.linalg.norm([3, 3, 3.5]), rel_tol=1e-6)
+
+
+def test_stream_counts(spark, tmp_path):
+    from loomspan.streaming.tracts import stream_counts
+
+    (tmp_path / "a.trk").write_bytes(trk.write_bytes([np.zeros((3, 3)), np.ones((2, 3))], np.eye(4), (5, 5, 5)))
+    query = stream_counts(spark, str(tmp_path)).writeStream.format("memory").queryName("tract_counts").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [(r["n_points"], r["n_streamlines"]) for r in spark.table("tract_counts").collect()] == [(5, 2)]
