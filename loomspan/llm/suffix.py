@@ -5,8 +5,9 @@
    equal anchors, so windows whose anchor occurs in one document only cannot match another and are left out. Chunks send
    their distinct anchors, packed by range, and get back those that some other document has too.
 3. Runs of successive windows with one such anchor are sent as one string of at most ``PIECE`` bytes, each distinct one
-   once a chunk, to the block of its anchor, so all equal windows meet in one block. An anchor found in more than ``HOT``
-   chunks is dealt window by window over all blocks instead; equal windows still meet.
+   once a chunk, to the block of its anchor, so all equal windows meet in one block. An anchor with more than ``HOT``
+   different strings, beyond one a chunk, stands at the edge of a passage that very many documents share; it is dealt
+   window by window over all blocks instead, where equal windows still meet.
 4. A block is indexed: its distinct strings are suffix-sorted, the Burrows-Wheeler transform is cut into runs, and the
    suffix array is sampled at run ends. A suffix within a run has its predecessor's match shortened by one (both extend
    to the left by the same byte), so match lengths are compared only at run heads and streamed in text order from there.
@@ -24,6 +25,7 @@ an empty result; other columns pass through ``drop_repeats`` and are ignored by
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,9 +39,13 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_partitions, text_buffers
 
 LENGTH, GRAM, PIECE = 50, 18, 64
-CHUNK_BYTES = 4_000_000
-BLOCK_BYTES = 8_000_000
-HOT = 64
+CHUNK_BYTES = 3_000_000
+#: Text a block stands for, and the parts in which a block is indexed one after the other.
+BLOCK_BYTES = 32_000_000
+PARTS = 10
+HOT = 4096
+#: Bytes that the first sort of suffixes looks at; the next ones double that.
+FIRST = 5
 _LAST = np.iinfo(np.int64).max
 _ANCHOR_BITS = 40
 _MIX = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,11 +85,21 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, so that one payload is held at once."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 # chunks
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(bid, size, payload): documents packed as compressed Arrow streams, sorted by doc_id, written once."""
+    """(bid, size, payload): documents packed as compressed Arrow streams, sorted by doc_id.
+
+    They are written once, as a table bucketed by bid in the shared warehouse, so that later joins by bid move only what
+    is joined to them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
@@ -92,7 +108,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks().sort_by("doc_id")
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_table(table)
             return _batch(["bid", "size", "payload"], [pa.int64(), pa.int64(), pa.binary()], [(first + made, size, sink.getvalue().to_pybytes())])
 
@@ -110,7 +126,11 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return cut(docs.mapInArrow(run, "bid long, size long, payload binary"))
+    spark = docs.sparkSession
+    name = f"loomspan_chunks_{uuid.uuid4().hex}"
+    packed = docs.mapInArrow(run, "bid long, size long, payload binary")
+    packed.write.bucketBy(shuffle_partitions(spark), "bid").option("compression", "none").saveAsTable(name)
+    return spark.table(name)
 
 
 def _load(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,11 +145,14 @@ def _load(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]
 
 
 def anchor_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor, document) of each run of successive windows of one document with one anchor."""
+    """(start, windows, anchor, document, mark) of each run of successive windows of one document with one anchor.
+
+    mark: 24 bits that tell different strings of one anchor apart, nearly always; used for counting only.
+    """
     none = np.empty(0, np.int64)
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
     with np.errstate(over="ignore"):
         power = lambda k: np.uint64(pow(_BASE, k, 1 << 64))
         h = _MIX[data]
@@ -153,20 +176,24 @@ def anchor_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     start[1:] &= (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
     starts = np.flatnonzero(start)
     if not len(starts):
-        return none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
     # a run ends where the next one starts or its document has no further window
     ends = np.minimum(np.append(starts[1:], n), bounds[1:][doc[starts]] - LENGTH + 1)
-    return starts, ends - starts, m[starts], doc[starts]
+    with np.errstate(over="ignore"):
+        mark = (h[starts] * np.uint64(_BASE) + h[ends - 1 + LENGTH - GRAM]) * np.uint64(_BASE) + (ends - starts).astype(np.uint64)
+        mark = (mark * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+    return starts, ends - starts, m[starts], doc[starts], mark
 
 
 def _anchor_lists(ranges: int) -> Callable:
-    """Chunk -> its distinct anchors by range, with a flag for those that two of its documents have."""
+    """Chunk -> its distinct anchors by range, a flag for those that two of its documents have, and further strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, _, data, bounds = _load(row["payload"])
-                _, _, anchor, doc = anchor_runs(data, bounds)
+                _, _, anchor, doc, mark = anchor_runs(data, bounds)
+                kinds = np.unique(anchor << np.uint64(24) | mark) >> np.uint64(24)
                 order = np.argsort(anchor, kind="stable")
                 anchor, doc = anchor[order], doc[order]
                 first = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] ^ np.uint64(1)) != 0) if len(anchor) else []
@@ -174,11 +201,12 @@ def _anchor_lists(ranges: int) -> Callable:
                     continue
                 several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
                 anchor = anchor[first]
+                more = np.minimum(np.diff(np.searchsorted(kinds, anchor), append=len(kinds)) - 1, 65535)
                 place = (anchor % np.uint64(ranges)).astype(np.int64)
                 rows = []
                 for p in np.unique(place).tolist():
                     own = place == p
-                    rows.append((p, row["bid"], _squeeze(_pack_sorted(anchor[own] // np.uint64(ranges)), np.packbits(several[own]))))
+                    rows.append((p, row["bid"], _squeeze(_pack_sorted(anchor[own] // np.uint64(ranges)), np.packbits(several[own]), more[own].astype("<u2"))))
                 yield _batch(["p", "bid", "anchors"], [pa.int32(), pa.int64(), pa.binary()], rows)
 
     return run
@@ -190,22 +218,24 @@ def _repeated(ranges: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         p = np.uint64(table.column("p")[0].as_py())
         bids = table.column("bid").to_pylist()
-        lists, flags = [], []
+        lists, flags, extra = [], [], []
         for blob in table.column("anchors"):
-            packed, bits = _open(blob.as_py())
+            packed, bits, more = _open(blob.as_py())
+            extra.append(np.frombuffer(more, "<u2"))
             lists.append(_unpack_sorted(packed))
             flags.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(lists[-1])).astype(bool))
         every = np.concatenate(lists)
-        value, chunks_with = np.unique(every, return_counts=True)
+        value, which, chunks_with = np.unique(every, return_inverse=True, return_counts=True)
+        hot = np.bincount(which, np.concatenate(extra)) > HOT
         both = np.unique(every[np.concatenate(flags)])
         rows = []
         for bid, own in zip(bids, lists):
-            n = chunks_with[np.searchsorted(value, own)]
-            keep = n > 1
+            at = np.searchsorted(value, own)
+            keep = chunks_with[at] > 1
             if len(both):
                 keep |= both[np.minimum(np.searchsorted(both, own), len(both) - 1)] == own
             if keep.any():
-                rows.append((bid, _squeeze((own[keep] * np.uint64(ranges) + p).astype("<u8"), np.packbits(n[keep] > HOT))))
+                rows.append((bid, _squeeze((own[keep] * np.uint64(ranges) + p).astype("<u8"), np.packbits(hot[at[keep]]))))
         return pa.Table.from_batches([_batch(["bid", "found"], [pa.int64(), pa.binary()], rows)])
 
     return run
@@ -219,14 +249,14 @@ def _strings(blocks: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, ids, data, bounds = _load(row["payload"])
                 opened = [_open(x) for x in row["found"]]
                 anchors = np.concatenate([np.frombuffer(a, "<u8") for a, _ in opened])
                 hot = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(a) // 8) for a, b in opened])
                 order = np.argsort(anchors)
                 anchors, hot = anchors[order], hot[order].astype(bool)
-                start, count, anchor, doc = anchor_runs(data, bounds)
+                start, count, anchor, doc, _ = anchor_runs(data, bounds)
                 at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
                 keep = anchors[at] == anchor
                 start, count, anchor, doc, hot = start[keep], count[keep], anchor[keep], doc[keep], hot[at[keep]]
@@ -242,20 +272,23 @@ def _strings(blocks: int) -> Callable:
                 distinct = list(known)
                 first = np.full(len(distinct), -1)
                 first[number[::-1]] = np.arange(len(number))[::-1]
-                block = (anchor[which[first]] % np.uint64(blocks)).astype(np.int64)
+                cell = (anchor[which[first]] % np.uint64(blocks * PARTS)).astype(np.int64)
                 for s in np.flatnonzero(hot[which[first]]).tolist():
-                    block[s] = int.from_bytes(hashlib.blake2b(distinct[s], digest_size=6).digest(), "little") % blocks
-                occurrence = np.argsort(number, kind="stable")
-                times = np.bincount(number, minlength=len(distinct))
-                ends = np.cumsum(times)
+                    cell[s] = int.from_bytes(hashlib.blake2b(distinct[s], digest_size=6).digest(), "little") % (blocks * PARTS)
+                block = cell % blocks
+                order = np.argsort(block, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                takes = np.argsort(place[number], kind="stable")
+                times = np.bincount(place[number], minlength=len(distinct))
+                ends = np.concatenate(([0], np.cumsum(times)))
+                edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
                 rows = []
-                for q in np.unique(block).tolist():
-                    own = np.flatnonzero(block == q)
-                    takes = occurrence[np.concatenate([np.arange(ends[s] - times[s], ends[s]) for s in own.tolist()])]
-                    text = b"".join([distinct[s] for s in own.tolist()])
-                    rows.append((q, row["bid"], _squeeze(
-                        size[first[own]].astype("<u1"), text, times[own].astype("<u4"),
-                        begin[takes].astype("<u4"), ids[doc[which[takes]]].astype("<i8"),
+                for a, b in zip(edges, edges[1:]):
+                    own, use = order[a:b], takes[ends[a] : ends[b]]
+                    rows.append((int(block[own[0]]), row["bid"], _squeeze(
+                        size[first[own]].astype("<u1"), b"".join([distinct[s] for s in own.tolist()]), times[a:b].astype("<u4"),
+                        begin[use].astype("<u4"), ids[doc[which[use]]].astype("<i8"), (cell[own] // blocks).astype("<u1"),
                     )))
                 yield _batch(["q", "bid", "strings"], [pa.int32(), pa.int64(), pa.binary()], rows)
 
@@ -265,6 +298,17 @@ def _strings(blocks: int) -> Callable:
 # index
 
 
+def _order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of keys of so many bits; where key and place fit one word, that word is sorted, which is faster."""
+    n = len(keys)
+    room = max(1, (n - 1).bit_length())
+    if bits + room > 63:
+        return np.argsort(keys, kind="stable")
+    packed = (keys.astype(np.int64) << room) | np.arange(n)
+    packed.sort()
+    return packed & ((1 << room) - 1)
+
+
 def _dense(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Ranks from 1 of keys in sorted order, equal for equal keys."""
     ordered = keys[order]
@@ -289,14 +333,15 @@ class RunIndex:
         self.text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)
         self.left = np.repeat(self.begin + size, size + 1) - np.arange(n)
         padded = np.concatenate([self.text, np.zeros(PIECE + 8, np.uint8)])
-        key = np.zeros(n, np.uint64)
-        for t in range(8):
-            key = (key << np.uint64(8)) | np.where(t < self.left, padded[t : t + n], 0).astype(np.uint64)
-        ranks, reach = [_dense(np.argsort(key), key)], 8
+        key = np.zeros(n, np.int64)
+        for t in range(FIRST):
+            key = (key << 8) | np.where(t < self.left, padded[t : t + n], 0)
+        ranks, reach = [_dense(_order(key, 8 * FIRST), key)], FIRST
         while reach < PIECE:
+            width = int(ranks[-1].max()).bit_length()
             last = np.concatenate([ranks[-1], np.zeros(reach, np.int64)])
-            key = (last[:n] << 32) | np.where(self.left > reach, last[reach : reach + n], 0)
-            order = np.argsort(key, kind="stable" if 2 * reach >= PIECE else "quicksort")
+            key = (last[:n] << width) | np.where(self.left > reach, last[reach : reach + n], 0)
+            order = _order(key, 2 * width)
             ranks.append(_dense(order, key))
             reach *= 2
         self.suffixes = order
@@ -310,14 +355,14 @@ class RunIndex:
     def _stream(self, ranks: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
         """Match lengths at run heads, from the samples on both sides, then down along the text."""
         here, other = self.samples[0].copy(), np.concatenate((self.samples[0][:1], self.samples[1][:-1]))
-        length, reach = np.zeros(len(here), np.int64), 8 << (len(ranks) - 1)
+        length, reach = np.zeros(len(here), np.int64), FIRST << (len(ranks) - 1)
         for rank in ranks[::-1]:
             same = (rank[here] == rank[other]) & (self.left[here] >= reach) & (self.left[other] >= reach)
             same[0] = False
             here, other, length = here + reach * same, other + reach * same, length + reach * same
             reach //= 2
         go = np.arange(1, len(here))
-        for _ in range(8):
+        for _ in range(FIRST):
             go = go[(padded[here[go]] == padded[other[go]]) & (padded[here[go]] != 0)]
             here[go] += 1
             other[go] += 1
@@ -343,23 +388,35 @@ class RunIndex:
 
 def _covered(table: pa.Table) -> pa.Table:
     """All strings of a block -> per chunk, where ranges of covered bytes start, and how long they are."""
-    bids, known, numbers, owners, places, docs, times = [], {}, [], [], [], [], []
-    for row in table.select(["bid", "strings"]).to_pylist():
-        size, text, count, begin, ids = _open(row["strings"])
+    bids, known, parts, numbers, places, docs, times = [], {}, [], [], [], [], []
+    for blob in table.column("strings"):
+        size, text, count, begin, ids, part = _open(blob.as_py())
         ends = np.cumsum(np.frombuffer(size, "<u1").astype(np.int64)).tolist()
         own = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        bids.append(row["bid"])
-        numbers.append(np.fromiter((known.setdefault(s, len(known)) for s in own), np.int64, len(own)))
+        before = len(known)
+        number = np.fromiter((known.setdefault(s, len(known)) for s in own), np.int64, len(own))
+        fresh = np.empty(len(known) - before, np.int64)
+        new = number >= before
+        fresh[number[new] - before] = np.frombuffer(part, "<u1")[new]
+        parts.append(fresh)
+        numbers.append(number)
         times.append(np.frombuffer(count, "<u4").astype(np.int64))
         places.append(np.frombuffer(begin, "<u4").astype(np.int64))
         docs.append(np.frombuffer(ids, "<i8"))
+    bids = table.column("bid").to_pylist()
     owner = np.full(len(known), _LAST)
     for number, count, ids in zip(numbers, times, docs):
         np.minimum.at(owner, number, np.minimum.reduceat(ids, np.cumsum(count) - count))
-    strings = list(known)
-    index = RunIndex(strings)
-    least = index.least(owner)
+    strings, part = list(known), np.concatenate(parts)
     windows = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
+    offset = np.cumsum(windows) - windows
+    least = np.empty(int(windows.sum()), np.int64)
+    for p in np.unique(part).tolist():
+        own = np.flatnonzero(part == p)
+        index = RunIndex([strings[s] for s in own.tolist()])
+        found, n = index.least(owner[own]), windows[own]
+        turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        least[np.repeat(offset[own], n) + turn] = found[np.repeat(index.begin, n) + turn]
     rows = []
     for bid, number, count, begin, ids in zip(bids, numbers, times, places, docs):
         string = np.repeat(number, count)
@@ -367,7 +424,7 @@ def _covered(table: pa.Table) -> pa.Table:
         total = int(n.sum())
         which = np.repeat(np.arange(len(string)), n)
         turn = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        hit = least[index.begin[string][which] + turn] < ids[which]
+        hit = least[offset[string][which] + turn] < ids[which]
         if not hit.any():
             continue
         edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
@@ -412,7 +469,7 @@ def measure(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 table, data, bounds, stay = _kept(row)
                 out = []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -432,7 +489,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 table, data, bounds, stay = _kept(row)
                 texts = [
                     data[a:b][stay[a:b]].tobytes().decode("utf-8", "ignore")
