@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import cut, text_buffers
 
 SYMBOLS = 96
-CELLS = 12_000_000
+CELLS = 8_000_000
 #: Strings of each length that are brought to the driver, the most frequent ones.
-STRINGS = 400_000
+STRINGS = 250_000
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -123,11 +123,11 @@ class Model:
         at = self.row[context[inside]].astype(np.int64) - s * s
         seen = np.bincount(
             (lang[inside] * len(chosen) + at) * s + last[inside], n[inside].astype(float), k * len(chosen) * s
-        ).reshape(k, len(chosen), s)
-        longest = self._escape(seen, cost[:, chosen % (s * s), :])
-        table = np.concatenate([cost.reshape(k, s * s, s), longest], axis=1)
+        ).reshape(k, len(chosen), s).astype(np.float32)
+        longest = self._escape(seen, cost[:, chosen % (s * s), :].astype(np.float32))
+        table = np.concatenate([cost.reshape(k, s * s, s).astype(np.float32), longest], axis=1)
         table[:, :, s - 1] += rest
-        self.table = np.ascontiguousarray(table.transpose(1, 2, 0).reshape(-1, k).astype(np.float32))
+        self.table = np.ascontiguousarray(table.transpose(1, 2, 0).reshape(-1, k))
 
     @staticmethod
     def _escape(seen: np.ndarray, below: np.ndarray) -> np.ndarray:
