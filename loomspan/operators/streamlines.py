@@ -192,10 +192,10 @@ def slab_rule(points: DataFrame, center: float, half: float, short: int = 5) ->
     """Streamlines of up to ``short`` points whole if any point is in the slab, longer ones clipped."""
     counted = points.withColumn("n", F.count("*").over(whole()))
     hit = F.max(F.abs(F.col("y") - center) <= half).over(whole())
-    whole = counted.where(F.col("n") <= short).withColumn("hit", hit).where("hit").select(
+    kept = counted.where(F.col("n") <= short).withColumn("hit", hit).where("hit").select(
         "streamline_id", F.lit(0).alias("seg_start"), F.col("point_idx").alias("pos"), *AXES
     )
-    return whole.unionByName(slab_clip(counted.where(F.col("n") > short).drop("n"), center, half))
+    return kept.unionByName(slab_clip(counted.where(F.col("n") > short).drop("n"), center, half))
 
 
 def bounds_keep(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
