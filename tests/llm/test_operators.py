@@ -7,7 +7,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -317,7 +316,7 @@ def test_neighbours_exact_with_one_partition(spark):
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 64)).astype("f4")
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(3000), "embedding": list(x)}))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = ann.search(df, df.where("vec_id % 50 = 0")).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u[::50] @ u.T
