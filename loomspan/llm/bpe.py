@@ -249,7 +249,7 @@ class Encoder:
         return self.token_bytes[np.repeat(self.token_start[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
-_encoders: dict[int, Encoder] = {}
+_held: list = [None, None]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -301,10 +301,9 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def _encoder(shared) -> Encoder:
     """One encoder a worker and broadcast: workers are reused between tasks, and so is its memory."""
-    if shared.value is None or id(shared.value) not in _encoders:
-        _encoders.clear()
-        _encoders[id(shared.value)] = Encoder(*shared.value)
-    return _encoders[id(shared.value)]
+    if _held[0] is not shared.value:
+        _held[:] = [shared.value, Encoder(*shared.value)]
+    return _held[1]
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:

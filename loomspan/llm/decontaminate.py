@@ -37,7 +37,8 @@ STEPS, PLACES, ROUNDS, STRIDE = 24, 8, 12, 1
 #: Steps of a walk and the least words of an item for it; short items take shorter walks.
 TIERS = ((STEPS, 14), (8, 5), (1, 1))
 ITEM_BYTES = 16_000_000
-_BITS = 20
+#: Size of a sieve, as a power of two: a few per cent of it is set for a block of items as large as a benchmark's.
+_BITS = 18
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -232,6 +233,16 @@ def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int]]:
     return [(d, i, x, len(items.rows[i][1])) for (d, i), x in best.items()]
 
 
+_held: list = [None, None]
+
+
+def _items(shared) -> Items:
+    """The items of a broadcast block of texts, with their tables, built once a worker: only the texts are sent."""
+    if _held[0] is not shared.value:
+        _held[:] = [shared.value, Items(shared.value)]
+    return _held[1]
+
+
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -246,10 +257,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.collect()]))
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
+            items = _items(shared)
             for whole in batches:
                 for batch in _pieces(whole):
                     found = matches(items, batch.column("text"))
@@ -273,13 +284,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which an item is found."""
     spark = docs.sparkSession
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.collect()]))
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in _pieces(whole):
                     stay = np.ones(len(batch), bool)
-                    stay[[d for d, *_ in matches(shared.value, batch.column("text"))]] = False
+                    stay[[d for d, *_ in matches(_items(shared), batch.column("text"))]] = False
                     yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(run, docs.schema)
