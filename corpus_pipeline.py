@@ -14,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, simhash, suffix, toxicity
+from loomspan.llm import bpe, decontaminate, shingles, suffix, toxicity
 from loomspan.llm.common import fresh_path
 
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of documents linked by 5-word shingles (Jaccard 0.8 or more) the one of smallest doc_id stays."""
+    return shingles.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
