@@ -8,9 +8,13 @@ Every word of a document starts a walk, and so does every word of an item, so th
 window can meet its counterpart; windows of an item's size around the start are what is verified. ``ROUNDS`` repetitions,
 each with its own coins and ``PLACES`` places, raise recall: a walk stands on a word for two steps on average, so
 ``STEPS`` steps see about 12 words, and a start whose sampled words are intact collides. In trials with every fifth to
-sixth word of 15 to 60-word items dropped, replaced or followed by a new one, no pair within the edit bound was missed
-(``tests/llm/test_decontaminate.py`` asks for 0.95). Starts are dropped at the first sampled place that no item shares,
-which costs a look-up for almost all. What is left is verified: the item against the window around the start, by the
+sixth word of 15 to 60-word items dropped, replaced or followed by a new one, no pair within the edit bound was missed. Starts are dropped at the first sampled place that no item shares,
+which costs a look-up for almost all. Letter edits break most words long before they break the edit bound, so items are
+also sought by characters: strings of ``GRAM`` characters that an item and a text share are counted along bands of
+diagonals (place in the text less place in the item), and a band with a share of an item's strings is a candidate. With
+a fifth of the letters edited at random about a quarter of these strings stay whole; ``SHARE`` of their weight is asked for;
+items under 60 characters take shorter strings and the bound below which no match can fall
+(``tests/llm/test_decontaminate.py`` asks for 0.95 over letter edits). What is left is verified: the item against the window around the start, by the
 exact edit distance of lower-cased texts with single spaces (bit-parallel, free ends).
 
 Items reach the executors in blocks of at most ``ITEM_BYTES``; a larger benchmark is gone through block by block.
@@ -37,6 +41,9 @@ STEPS, PLACES, ROUNDS, STRIDE = 24, 8, 12, 1
 #: Steps of a walk and the least words of an item for it; short items take shorter walks.
 TIERS = ((STEPS, 14), (8, 5), (1, 1))
 ITEM_BYTES = 16_000_000
+#: Length of the strings of characters by the least length of an item, and the share of their weight that a candidate holds.
+GRAM, SHARE = ((6, 60), (4, 16), (2, 2)), 0.08
+_CHARS = 500_000
 #: Size of a sieve, as a power of two: a few per cent of it is set for a block of items as large as a benchmark's.
 _BITS = 18
 
@@ -152,6 +159,75 @@ class Items:
                 order = np.argsort(key, kind="stable")
                 self.tables.append((steps, turn, sieve, key[order], item[start[order]], (start - begin[item[start]])[order]))
 
+        self.grams = [g for g in (self._grams(t) for t in range(len(GRAM))) if g]
+
+    def _grams(self, tier: int) -> tuple | None:
+        """Length, then items' band widths, thresholds, string hashes, their items and places, by hash."""
+        (q, least), above = GRAM[tier], GRAM[tier - 1][1] if tier else 1 << 60
+        size = np.array([len(t) for _, t in self.rows], np.int64)
+        own = np.flatnonzero((size >= least) & (size < above))
+        if not len(own):
+            return None
+        bound = ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
+        width = np.maximum(bound, 1)
+        codes = [_hashes(_points(self.rows[i][1]), q) for i in own.tolist()]
+        item = np.repeat(own, [len(c) for c in codes])
+        place = np.concatenate([np.arange(len(c)) for c in codes])
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        code, first = np.unique(code[order], return_index=True)
+        number = np.diff(np.append(first, len(order)))
+        # a long item's strings weigh less the more often items hold them: common words would fill any band
+        weight = np.ones(len(code)) if tier else 1 / number
+        if tier:
+            need = np.maximum(size - q + 1 - q * bound, 1)
+        else:
+            need = SHARE * np.bincount(item[order], np.repeat(weight, number), len(size))
+        table = np.full(1 << _GRAM_BITS, -1, np.int32)  # the first code of each slot; its neighbours follow in order
+        slot = (code >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
+        table[slot[::-1]] = np.arange(len(code))[::-1]
+        return q, own, size, bound, width, need, table, code, first, number, weight, item[order], place[order]
+
+    def bands(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end) of the stretches of characters in which an item may stand."""
+        for q, own, size, bound, width, need, table, code, first, number, weight, item, place in self.grams:
+            found = _hashes(data, q)
+            at = np.flatnonzero(table[(found >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)] >= 0)
+            k = np.minimum(np.searchsorted(code, found[at]), len(code) - 1)
+            same = code[k] == found[at]
+            at, k = at[same], k[same]
+            n = number[k]
+            hit = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            i = item[hit]
+            # bands are numbered from the first place at which an item could begin
+            band = (np.repeat(at, n) - place[hit] + size[i]) // width[i]
+            cells = np.zeros(len(size) + 1, np.int64)
+            cells[own + 1] = (len(data) + size[own]) // width[own] + 3
+            base = np.cumsum(cells)
+            key = base[i] + band
+            if base[-1] <= 8 * len(key) + (1 << 22):
+                count = np.bincount(key, np.repeat(weight[k], n), base[-1])
+                key = np.flatnonzero(count)
+                count = count[key]
+            else:
+                key, back = np.unique(key, return_inverse=True)
+                count = np.bincount(back, np.repeat(weight[k], n))
+            i = np.searchsorted(base, key, side="right") - 1
+            total = count.copy()
+            if len(key):
+                after = key[1:] == key[:-1] + 1
+                total[:-1] += np.where(after, count[1:], 0)
+            good = total >= need[i] - 1e-9
+            key, i = key[good], i[good]
+            if not len(key):
+                continue
+            fresh = np.append(True, (np.diff(key) > 1) | (np.diff(i) > 0))
+            heads = np.flatnonzero(fresh)
+            tails = np.append(heads[1:], len(key)) - 1
+            for x, a, b in zip(i[heads].tolist(), key[heads].tolist(), key[tails].tolist()):
+                begin, end = (c * int(width[x]) - int(size[x]) for c in (a - int(base[x]), b - int(base[x]) + 2))
+                yield x, begin - int(bound[x]), end + int(size[x]) + 2 * int(bound[x])
+
     @staticmethod
     def _fill(code: np.ndarray, at: np.ndarray, steps: int, turn: int, sieve: list[np.ndarray]) -> None:
         """Let through, place by place, what the items' own walks give there."""
@@ -183,6 +259,27 @@ def _plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+_GRAM_BITS = 20
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each string of ``q`` characters."""
+    n = max(0, len(points) - q + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(q):
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            out += points[j : j + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
 def edit_distance_within(pattern: str, text: str) -> int:
     """Least edit distance of ``pattern`` to any substring of ``text``, bit-parallel over the pattern."""
     if pattern in text:
@@ -230,9 +327,34 @@ def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int]]:
         distance = edit_distance_within(pattern, _plain(data[lo:hi].tobytes().decode("utf-8", "replace")))
         if distance <= (1 - SIMILARITY) * len(pattern) + 1e-9:
             best[d, i] = min(distance, best.get((d, i), distance))
+    _add_by_characters(items, column, best)
     return [(d, i, x, len(items.rows[i][1])) for (d, i), x in best.items()]
 
 
+def _add_by_characters(items: Items, column: pa.Array, best: dict[tuple[int, int], int]) -> None:
+    """Verify the bands of runs of texts, about ``_CHARS`` characters each."""
+    texts, size, first = [], 0, 0
+    for d, t in enumerate(column):
+        texts.append(_plain(t.as_py() or ""))
+        size += len(texts[-1]) + 1
+        if size < _CHARS and d + 1 < len(column):
+            continue
+        whole = "\n".join(texts)  # no plain text holds a line break
+        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+        for i, a, b in items.bands(_points(whole)):
+            pattern = items.rows[i][1]
+            for n in range(int(np.searchsorted(ends, max(a, 0))), len(texts)):
+                start = int(ends[n]) - len(texts[n])
+                if start >= b:
+                    break
+                if best.get((first + n, i)) == 0:
+                    continue
+                distance = edit_distance_within(pattern, texts[n][max(a - start, 0) : max(b - start, 0)])
+                if distance <= (1 - SIMILARITY) * len(pattern) + 1e-9:
+                    best[first + n, i] = min(distance, best.get((first + n, i), distance))
+        texts, size, first = [], 0, d + 1
+
+
 _held: list = [None, None]
 
 
