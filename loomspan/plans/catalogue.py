@@ -212,6 +212,12 @@ def slab_rule_short_long(p: DataFrame) -> DataFrame:
     return streamlines.slab_rule(p.where("point_idx < 3 + streamline_id % 9"), 40.0, 15.0)
 
 
+@query(points, with_points("sized as (select *, count(*) over (partition by streamline_id) as size from points)", _slab("(select * from sized where size > 5)")) + f"""select streamline_id, seg_start, pos, {rnd('x', 'y', 'z')} from slab where n >= 2
+union all select streamline_id, 0, point_idx, {rnd('x', 'y', 'z')} from sized where size <= 5 and streamline_id in (select streamline_id from sized where abs(y - 40.0) <= 15.0)""")
+def slab_rule(p: DataFrame) -> DataFrame:
+    return streamlines.slab_rule(p, 40.0, 15.0)
+
+
 @query(points, with_points() + f"""select streamline_id from points group by 1 having {' and '.join(f'bool_or({a} >= {lo!r}) and bool_or({a} < {hi!r})' for a, lo, hi in zip('xyz', LOW, HIGH))}""")
 def bounds_keep(p: DataFrame) -> DataFrame:
     return streamlines.bounds_keep(p, LOW, HIGH)
