@@ -7,9 +7,9 @@ next shorter context, down to a uniform choice (method C, without exclusion). A
 shortest code under these frozen statistics, and the score is that language's share when lengths are per byte.
 
 Counts are taken over all learning documents: each task counts the four-byte strings of its batch per language, and
-Spark sums them. The trees are then frozen as one table: ``SYMBOLS`` - 1 most frequent bytes and one symbol for the rest,
-all contexts of two symbols, and the most frequent contexts of three, as many as ``CELLS`` entries hold. That bound, not
-the corpus, is what reaches the driver and the executors.
+Spark sums them. The trees are then frozen in parts of ``TOGETHER`` languages: ``SYMBOLS`` - 1 most frequent bytes and one
+symbol for the rest, all contexts of two symbols, and every string of four symbols that was seen. What reaches the driver
+and the executors are the different strings, not the corpus.
 
 Defined cases: ``und`` and score 0 for a null text, a text without any letter, or if nothing could be learned; ties go to
 the language first in order; rows with null lang teach nothing; repeated rows count each time; an empty table gives an
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_buffers
 
 SYMBOLS = 96
-CELLS = 8_000_000
-#: Strings of each length that are brought to the driver, the most frequent ones.
-STRINGS = 250_000
+#: Languages whose code lengths stand beside each other in one table.
+TOGETHER = 16
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,48 +85,56 @@ def count_strings(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Frozen code lengths: ``table[row(context), symbol]`` has one cost per language."""
+class Part:
+    """Frozen code lengths of some languages: dense up to order 2, and the strings of order 3 that one of them has seen."""
 
-    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, k: int, symbol: np.ndarray, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """counts: by string length 1 to 4, the language's number, the string, and its count."""
-        self.langs, s = langs, SYMBOLS
-        lang, gram, n = counts[1]
-        total = np.bincount(gram, n, 256)
-        top = np.argsort(-total, kind="stable")[: s - 1]
-        self.symbol = np.full(256, s - 1, np.uint8)
-        self.symbol[top] = np.arange(s - 1)
+        s = SYMBOLS
         rest = np.log2(256 - (s - 1))
-        k = len(langs)
         cost = np.full((k, s), 8.0)
         cost[:, s - 1] = 8.0 - rest  # the class as a whole; each byte of it then costs ``rest`` more
         for order in range(3):
             lang, gram, n = counts[order + 1]
             code, weight = np.zeros(len(gram), np.int64), n.astype(float)
             for place in range(order, -1, -1):
-                code = code * s + self.symbol[(gram >> (8 * place)) & 255]
+                code = code * s + symbol[(gram >> (8 * place)) & 255]
             seen = np.bincount(lang * s ** (order + 1) + code, weight, k * s ** (order + 1)).reshape(k, s**order, s)
             below = cost.reshape(k, -1, s) if order else cost[:, None, :]
             cost = self._escape(seen, np.tile(below, (1, s, 1)) if order else below)
         lang, gram, n = counts[4]
-        context, last = np.zeros(len(gram), np.int64), self.symbol[gram & 255].astype(np.int64)
-        for place in (3, 2, 1):
-            context = context * s + self.symbol[(gram >> (8 * place)) & 255]
-        room = max(0, CELLS // (s * k) - s * s)
-        mass = np.bincount(context, n, s**3)
-        chosen = np.argsort(-mass, kind="stable")[:room]
-        chosen = chosen[mass[chosen] > 0]
-        self.row = (np.arange(s**3) % (s * s)).astype(np.int32)
-        self.row[chosen] = s * s + np.arange(len(chosen))
-        inside = self.row[context] >= s * s
-        at = self.row[context[inside]].astype(np.int64) - s * s
-        seen = np.bincount(
-            (lang[inside] * len(chosen) + at) * s + last[inside], n[inside].astype(float), k * len(chosen) * s
-        ).reshape(k, len(chosen), s).astype(np.float32)
-        longest = self._escape(seen, cost[:, chosen % (s * s), :].astype(np.float32))
-        table = np.concatenate([cost.reshape(k, s * s, s).astype(np.float32), longest], axis=1)
-        table[:, :, s - 1] += rest
-        self.table = np.ascontiguousarray(table.transpose(1, 2, 0).reshape(-1, k))
+        code = np.zeros(len(gram), np.int64)
+        for place in (3, 2, 1, 0):
+            code = code * s + symbol[(gram >> (8 * place)) & 255]
+        self.cells, cell = np.unique(code, return_inverse=True)
+        seen = np.bincount(cell * k + lang, n.astype(float), len(self.cells) * k).reshape(-1, k)
+        contexts, first, where = np.unique(self.cells // s, return_index=True, return_inverse=True)
+        self.row = np.zeros(s**3, np.int32)
+        self.row[contexts] = np.arange(1, len(contexts) + 1)
+        total, kinds = (
+            np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, k)) for x in (seen, (seen > 0).astype(float))
+        )
+        with np.errstate(divide="ignore", invalid="ignore"):
+            size = np.log2(total + kinds)
+            leave = np.where(total > 0, size - np.log2(kinds), 0.0)
+            below = cost[:, self.cells // s % (s * s), self.cells % s].T
+            longest = np.where(seen > 0, size[where] - np.log2(seen), leave[where] + below)
+        longest[self.cells % s == s - 1] += rest
+        cost[:, :, s - 1] += rest
+        self.longest = longest.astype(np.float32)
+        self.leave = np.concatenate([np.zeros((1, k)), leave]).astype(np.float32)
+        self.base = np.ascontiguousarray(cost.astype(np.float32).transpose(1, 2, 0).reshape(-1, k))
+
+    def cost(self, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The code length of each symbol after its context of three, per language."""
+        s = SYMBOLS
+        out = self.base[context % (s * s) * s + last] + self.leave[self.row[context]]
+        if len(self.cells):
+            code = context.astype(np.int64) * s + last
+            at = np.minimum(np.searchsorted(self.cells, code), len(self.cells) - 1)
+            hit = np.flatnonzero(self.cells[at] == code)
+            out[hit] = self.longest[at[hit]]
+        return out
 
     @staticmethod
     def _escape(seen: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -137,6 +144,13 @@ class Model:
             escape = np.log2(n + t) - np.log2(t) + below
         return np.where(n == 0, below, np.where(seen > 0, known, escape))
 
+
+class Model:
+    """Frozen code lengths of all languages, in parts of ``TOGETHER`` languages."""
+
+    def __init__(self, langs: list[str], symbol: np.ndarray, parts: list[Part]) -> None:
+        self.langs, self.symbol, self.parts = langs, symbol, parts
+
     def bits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Code length of each text in each language, and the texts' lengths in bytes."""
         data, starts = _framed(column)
@@ -147,32 +161,43 @@ class Model:
         sym = self.symbol[data]
         wide = sym.astype(np.int32)
         context = (wide[:-3] * SYMBOLS + wide[1:-2]) * SYMBOLS + wide[2:-1]
-        cost = self.table[self.row[context] * SYMBOLS + wide[3:]]
         full = np.flatnonzero(size)
         if len(full):
             # a text's costs stand from its start less three; the frame of the next text follows and is left out
             edges = np.stack([starts[full] - 3, starts[full] - 3 + size[full]], 1).ravel()
-            last = edges[-1] == len(cost)
-            sums = np.add.reduceat(cost, edges[:-1] if last else edges, axis=0, dtype=np.float64)
-            out[full] = sums[::2]
+            last = edges[-1] == len(context)
+            for i, part in enumerate(self.parts):
+                cost = part.cost(context, wide[3:])
+                sums = np.add.reduceat(cost, edges[:-1] if last else edges, axis=0, dtype=np.float64)
+                out[full, i * TOGETHER : (i + 1) * TOGETHER] = sums[::2]
         return out, size
 
 
 def learn(docs: DataFrame) -> Model | None:
     """Fit on all rows of (text, lang); null if there is none."""
     grams = cut(count_strings(docs))
-    langs = sorted(r[0] for r in grams.select("lang").distinct().limit(1000).collect())
+    langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
     if not langs:
         return None
-    place = {x: i for i, x in enumerate(langs)}
-    counts = {}
-    for size in range(1, 5):
+
+    def strings(size: int):
         own = grams.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("gram"), "n")
-        top = own.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(STRINGS)
-        got = top.toArrow()
-        code = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
-        counts[size] = code, got.column("gram").to_numpy(), got.column("n").to_numpy()
-    return Model(langs, counts)
+        return own.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    bytes_seen = strings(1).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    total = np.bincount(bytes_seen.column("gram").to_numpy(), bytes_seen.column("n").to_numpy(), 256)
+    symbol = np.full(256, SYMBOLS - 1, np.uint8)
+    symbol[np.argsort(-total, kind="stable")[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
+    parts = []
+    for at in range(0, len(langs), TOGETHER):
+        some = langs[at : at + TOGETHER]
+        place, counts = pa.array(some), {}
+        for size in range(1, 5):
+            got = strings(size).where(F.col("lang").isin(some)).toArrow()
+            code = pc.index_in(got.column("lang"), place).to_numpy().astype(np.int64)
+            counts[size] = code, got.column("gram").to_numpy(), got.column("n").to_numpy()
+        parts.append(Part(len(some), symbol, counts))
+    return Model(langs, symbol, parts)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
