@@ -24,3 +24,15 @@ def test_order_three_holds_for_any_number_of_languages(spark):
     b, _ = among.bits(texts)
     assert abs(a[:2, 0] - b[:2, 0]).max() < 1e-4
     assert b.shape == (5, 40) and b[0].argmin() == 0
+
+
+def test_a_rare_language_keeps_its_strings(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often = [(i, "".join(rng.choice(letters) for _ in range(4000)), "often") for i in range(100)]
+    model = order_three(spark, [*often, (1000, "qzqxqzqxqj", "rare")])
+    part, place = model.parts[0], model.langs.index("rare")
+    assert len(part.cells) > 250_000
+    bits, _ = model.bits(pa.array(["qzqx"]))
+    # contexts of the frame and of "qzq" were seen in the rare language: no byte of the text costs more than an escape
+    assert bits[0, place] < bits[0, 1 - place] and bits[0, place] < 8
