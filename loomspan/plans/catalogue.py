@@ -390,6 +390,12 @@ def region_filter(p: DataFrame) -> DataFrame:
     return patches.region_filter(p, (20.0, 10.0, 4.0), (40.0, 20.0, 6.0), 40)
 
 
+@query(points, with_points() + """select streamline_id, point_idx, round(x - 20.0, 6) + 0.0 as x, round(y - 10.0, 6) + 0.0 as y, round(z - 4.0, 6) + 0.0 as z from points
+where streamline_id in (select distinct streamline_id from points where x >= 20 and x < 60 and y >= 10 and y < 30 and z >= 4 and z < 10 order by 1 limit 50000)""")
+def region_filter_default(p: DataFrame) -> DataFrame:
+    return patches.region_filter(p, (20.0, 10.0, 4.0), (40.0, 20.0, 6.0))
+
+
 @query(points, with_points("ids as (select distinct streamline_id as file_id from points)") + """select file_id,
   cast(1000 // (select count(*) from ids) + case when row_number() over (order by file_id) <= 1000 % (select count(*) from ids) then 1 else 0 end as integer) as quota from ids""")
 def patch_quota(p: DataFrame) -> DataFrame:
