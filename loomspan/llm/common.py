@@ -14,20 +14,60 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a local folder is made and set.
+    Only where a session on one machine leaves it unset (tests) a local folder is made and set; on a cluster such a
+    folder would be seen by one machine only, so there it has to be named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="loomspan-")
-        if not found.isDefined():
+        if found.isDefined():
+            path = found.get()
+        elif spark.sparkContext.master.partition("[")[0] == "local":
+            path = "file://" + tempfile.mkdtemp(prefix="loomspan-")
             spark.sparkContext.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
+#: Folders and tables made in this process, and not yet swept.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, until the next ``sweep``."""
+    _made.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def fresh_table(spark: SparkSession, kind: str) -> str:
+    """A new table name in the shared warehouse, until the next ``sweep``."""
+    _made.append(f"loomspan_{kind}_{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete intermediate folders and tables, once the results made from them are written; ``keep``: paths that stay."""
+    for name in [x for x in _made if x not in keep]:
+        _made.remove(name)
+        if "/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound what is sent to Python at once, in rows and bytes: a text may be large, and every task holds a batch.
+
+    The setting belongs to the session, as plans are made when their result is asked for; smaller settings stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    return spark
 
 
 def cut(df: DataFrame) -> DataFrame:

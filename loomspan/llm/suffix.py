@@ -5,17 +5,19 @@
    equal anchors, so windows whose anchor occurs in one document only cannot match another and are left out. Chunks send
    their distinct anchors, packed by range, and get back those that some other document has too.
 3. Runs of successive windows with one such anchor are sent as one string of at most ``PIECE`` bytes, each distinct one
-   once a chunk, to the block of its anchor, so all equal windows meet in one block. An anchor with more than ``HOT``
+   once a chunk with the least doc_id that the chunk has for it, to the block of its anchor, so all equal windows meet in
+   one block. Later documents of the chunk that hold the string are covered by that first one, which the chunk knows by
+   itself; a passage that a third of all documents share thus sends one string a chunk. An anchor with more than ``HOT``
    different strings, beyond one a chunk, stands at the edge of a passage that very many documents share; it is dealt
    window by window over all blocks instead, where equal windows still meet.
-4. A block is indexed: its distinct strings are suffix-sorted, the Burrows-Wheeler transform is cut into runs, and the
-   suffix array is sampled at run ends. A suffix within a run has its predecessor's match shortened by one (both extend
-   to the left by the same byte), so match lengths are compared only at run heads and streamed in text order from there.
-   Neighbours in suffix order that match for 50 bytes or more hold the same window; the smallest doc_id of such an
-   interval decides for each occurrence.
+4. In a block, an anchor with one string needs no index: its windows occur nowhere else. The strings of all other anchors
+   are indexed: they are suffix-sorted, the Burrows-Wheeler transform is cut into runs, and the suffix array is sampled
+   at run ends. A suffix within a run has its predecessor's match shortened by one (both extend to the left by the same
+   byte), so match lengths are compared only at run heads and streamed in text order from there. Neighbours in suffix
+   order that match for 50 bytes or more hold the same window; the smallest doc_id of such an interval decides.
 5. Covered ranges return to their chunks, which cut them out.
 
-No step holds more than a chunk or a block; block and anchor-range numbers grow with the input.
+No step holds more than a chunk or a block; the numbers of blocks, anchor ranges and buckets grow with the input.
 
 Defined cases: a null or empty text, or one under 50 bytes, loses nothing; repeats within a document or among rows with
 the same doc_id do not count; a null doc_id counts as larger than any other and never as smaller; an empty table gives
@@ -25,7 +27,6 @@ an empty result; other columns pass through ``drop_repeats`` and are ignored by
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,18 +37,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, text_buffers
+from .common import cut, fresh_table, shuffle_partitions, small_batches, text_buffers
 
-LENGTH, GRAM, PIECE = 50, 18, 64
+LENGTH, GRAM, PIECE = 50, 18, 80
 CHUNK_BYTES = 3_000_000
 #: Text a block stands for, and the parts in which a block is indexed one after the other.
 BLOCK_BYTES = 32_000_000
+#: Input that a bucket of chunks stands for, and as many buckets as Spark allows by default.
+BUCKET_BYTES, MOST_BUCKETS = 256_000_000, 100_000
 PARTS = 10
 HOT = 4096
 #: Bytes that the first sort of suffixes looks at; the next ones double that.
 FIRST = 5
 _LAST = np.iinfo(np.int64).max
-_ANCHOR_BITS = 40
+#: Bits of an anchor beyond those that number the bytes of the input: chance matches stay few at any size.
+SPARE_BITS = 14
 _MIX = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -94,11 +98,11 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 # chunks
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(bid, size, payload): documents packed as compressed Arrow streams, sorted by doc_id.
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(bid, payload): documents packed as compressed Arrow streams, sorted by doc_id.
 
     They are written once, as a table bucketed by bid in the shared warehouse, so that later joins by bid move only what
-    is joined to them.
+    is joined to them; ``common.sweep`` drops it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +114,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_table(table)
-            return _batch(["bid", "size", "payload"], [pa.int64(), pa.int64(), pa.binary()], [(first + made, size, sink.getvalue().to_pybytes())])
+            return _batch(["bid", "payload"], [pa.int64(), pa.binary()], [(first + made, sink.getvalue().to_pybytes())])
 
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
@@ -127,9 +131,10 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield flush()
 
     spark = docs.sparkSession
-    name = f"loomspan_chunks_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(run, "bid long, size long, payload binary")
-    packed.write.bucketBy(shuffle_partitions(spark), "bid").option("compression", "none").saveAsTable(name)
+    name = fresh_table(spark, "chunks")
+    buckets = max(shuffle_partitions(spark), min(MOST_BUCKETS, size // BUCKET_BYTES))
+    packed = docs.mapInArrow(run, "bid long, payload binary")
+    packed.write.bucketBy(buckets, "bid").option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
 
@@ -144,7 +149,7 @@ def _load(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]
 # anchors
 
 
-def anchor_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchor_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """(start, windows, anchor, document, mark) of each run of successive windows of one document with one anchor.
 
     mark: 24 bits that tell different strings of one anchor apart, nearly always; used for counting only.
@@ -163,7 +168,7 @@ def anchor_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         h = h[: len(h) - 2] * power(2) + two[16:]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - _ANCHOR_BITS)
+        h >>= np.uint64(64 - bits)
     m, width = h, 1
     while width < 32:
         m = np.minimum(m[:-width], m[width:])
@@ -185,15 +190,15 @@ def anchor_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends - starts, m[starts], doc[starts], mark
 
 
-def _anchor_lists(ranges: int) -> Callable:
+def _anchor_lists(ranges: int, bits: int) -> Callable:
     """Chunk -> its distinct anchors by range, a flag for those that two of its documents have, and further strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 _, _, data, bounds = _load(row["payload"])
-                _, _, anchor, doc, mark = anchor_runs(data, bounds)
-                kinds = np.unique(anchor << np.uint64(24) | mark) >> np.uint64(24)
+                _, _, anchor, doc, mark = anchor_runs(data, bounds, bits)
+                kinds = np.unique(anchor << np.uint64(24) | mark) >> np.uint64(24)  # by the low 40 bits
                 order = np.argsort(anchor, kind="stable")
                 anchor, doc = anchor[order], doc[order]
                 first = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] ^ np.uint64(1)) != 0) if len(anchor) else []
@@ -201,7 +206,8 @@ def _anchor_lists(ranges: int) -> Callable:
                     continue
                 several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
                 anchor = anchor[first]
-                more = np.minimum(np.diff(np.searchsorted(kinds, anchor), append=len(kinds)) - 1, 65535)
+                low = anchor & np.uint64((1 << 40) - 1)
+                more = np.minimum(np.searchsorted(kinds, low, side="right") - np.searchsorted(kinds, low) - 1, 65535)
                 place = (anchor % np.uint64(ranges)).astype(np.int64)
                 rows = []
                 for p in np.unique(place).tolist():
@@ -244,7 +250,7 @@ def _repeated(ranges: int) -> Callable:
 # strings
 
 
-def _strings(blocks: int) -> Callable:
+def _strings(blocks: int, bits: int) -> Callable:
     """Chunk and its repeated anchors -> distinct strings by block, with doc_ids and places of their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +262,7 @@ def _strings(blocks: int) -> Callable:
                 hot = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(a) // 8) for a, b in opened])
                 order = np.argsort(anchors)
                 anchors, hot = anchors[order], hot[order].astype(bool)
-                start, count, anchor, doc, _ = anchor_runs(data, bounds)
+                start, count, anchor, doc, _ = anchor_runs(data, bounds, bits)
                 at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
                 keep = anchors[at] == anchor
                 start, count, anchor, doc, hot = start[keep], count[keep], anchor[keep], doc[keep], hot[at[keep]]
@@ -272,25 +278,31 @@ def _strings(blocks: int) -> Callable:
                 distinct = list(known)
                 first = np.full(len(distinct), -1)
                 first[number[::-1]] = np.arange(len(number))[::-1]
-                cell = (anchor[which[first]] % np.uint64(blocks * PARTS)).astype(np.int64)
+                owner = ids[doc[which]]
+                least = owner[first]  # documents are sorted, so the first occurrence has the least doc_id
+                later = owner > least[number]
+                key = anchor[which[first]]
                 for s in np.flatnonzero(hot[which[first]]).tolist():
-                    cell[s] = int.from_bytes(hashlib.blake2b(distinct[s], digest_size=6).digest(), "little") % (blocks * PARTS)
+                    key[s] = int.from_bytes(hashlib.blake2b(distinct[s], digest_size=8).digest(), "little")
+                cell = (key % np.uint64(blocks * PARTS)).astype(np.int64)
                 block = cell % blocks
                 order = np.argsort(block, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                takes = np.argsort(place[number], kind="stable")
-                times = np.bincount(place[number], minlength=len(distinct))
+                takes = np.flatnonzero(~later)
+                takes = takes[np.argsort(place[number[takes]], kind="stable")]
+                times = np.bincount(place[number[takes]], minlength=len(distinct))
                 ends = np.concatenate(([0], np.cumsum(times)))
                 edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
-                rows = []
+                at, length = _merged(begin[later], size[later])
+                rows = [(row["bid"] % blocks, row["bid"], None, _squeeze(at.astype("<u4"), length.astype("<u4")))] if len(at) else []
                 for a, b in zip(edges, edges[1:]):
                     own, use = order[a:b], takes[ends[a] : ends[b]]
                     rows.append((int(block[own[0]]), row["bid"], _squeeze(
                         size[first[own]].astype("<u1"), b"".join([distinct[s] for s in own.tolist()]), times[a:b].astype("<u4"),
-                        begin[use].astype("<u4"), ids[doc[which[use]]].astype("<i8"), (cell[own] // blocks).astype("<u1"),
-                    )))
-                yield _batch(["q", "bid", "strings"], [pa.int32(), pa.int64(), pa.binary()], rows)
+                        begin[use].astype("<u4"), least[own].astype("<i8"), (cell[own] // blocks).astype("<u1"), key[own].astype("<u8"),
+                    ), None))
+                yield _batch(["q", "bid", "strings", "covered"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], rows)
 
     return run
 
@@ -312,8 +324,8 @@ def _order(keys: np.ndarray, bits: int) -> np.ndarray:
 def _dense(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Ranks from 1 of keys in sorted order, equal for equal keys."""
     ordered = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([1], (ordered[1:] != ordered[:-1]).astype(np.int64))))
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]), dtype=np.int32)
     return rank
 
 
@@ -331,7 +343,7 @@ class RunIndex:
         n = int((size + 1).sum())
         # UTF-8 never holds byte 255, so bytes move up by one and 0 is the end mark
         self.text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)
-        self.left = np.repeat(self.begin + size, size + 1) - np.arange(n)
+        self.left = (np.repeat(self.begin + size, size + 1) - np.arange(n)).astype(np.int32)
         padded = np.concatenate([self.text, np.zeros(PIECE + 8, np.uint8)])
         key = np.zeros(n, np.int64)
         for t in range(FIRST):
@@ -339,8 +351,8 @@ class RunIndex:
         ranks, reach = [_dense(_order(key, 8 * FIRST), key)], FIRST
         while reach < PIECE:
             width = int(ranks[-1].max()).bit_length()
-            last = np.concatenate([ranks[-1], np.zeros(reach, np.int64)])
-            key = (last[:n] << width) | np.where(self.left > reach, last[reach : reach + n], 0)
+            last = np.concatenate([ranks[-1], np.zeros(reach, np.int32)])
+            key = (last[:n].astype(np.int64) << width) | np.where(self.left > reach, last[reach : reach + n], 0)
             order = _order(key, 2 * width)
             ranks.append(_dense(order, key))
             reach *= 2
@@ -386,67 +398,93 @@ class RunIndex:
         return out
 
 
+def _merged(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges, sorted by where they start, with those that overlap or touch made one."""
+    if not len(at):
+        return at, size
+    end = np.maximum.accumulate(at + size)
+    head = np.flatnonzero(np.append(True, at[1:] > end[:-1]))
+    return at[head], end[np.append(head[1:], len(at)) - 1] - at[head]
+
+
 def _covered(table: pa.Table) -> pa.Table:
     """All strings of a block -> per chunk, where ranges of covered bytes start, and how long they are."""
-    bids, known, parts, numbers, places, docs, times = [], {}, [], [], [], [], []
-    for blob in table.column("strings"):
-        size, text, count, begin, ids, part = _open(blob.as_py())
+    sent, ready = table.filter(table.column("strings").is_valid()), table.filter(table.column("covered").is_valid())
+    known, parts, keys, numbers, places, owners, times = {}, [], [], [], [], [], []
+    for blob in sent.column("strings"):
+        size, text, count, begin, ids, part, key = _open(blob.as_py())
         ends = np.cumsum(np.frombuffer(size, "<u1").astype(np.int64)).tolist()
         own = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         before = len(known)
         number = np.fromiter((known.setdefault(s, len(known)) for s in own), np.int64, len(own))
-        fresh = np.empty(len(known) - before, np.int64)
-        new = number >= before
-        fresh[number[new] - before] = np.frombuffer(part, "<u1")[new]
-        parts.append(fresh)
+        fresh = np.flatnonzero(number >= before)  # strings of one chunk differ, so these come in order
+        parts.append(np.frombuffer(part, "<u1")[fresh])
+        keys.append(np.frombuffer(key, "<u8")[fresh])
         numbers.append(number)
-        times.append(np.frombuffer(count, "<u4").astype(np.int64))
-        places.append(np.frombuffer(begin, "<u4").astype(np.int64))
-        docs.append(np.frombuffer(ids, "<i8"))
-    bids = table.column("bid").to_pylist()
-    owner = np.full(len(known), _LAST)
-    for number, count, ids in zip(numbers, times, docs):
-        np.minimum.at(owner, number, np.minimum.reduceat(ids, np.cumsum(count) - count))
-    strings, part = list(known), np.concatenate(parts)
+        times.append(np.frombuffer(count, "<u4"))
+        places.append(np.frombuffer(begin, "<u4"))
+        owners.append(np.frombuffer(ids, "<i8"))
+    rows = [(r["bid"], r["covered"]) for r in ready.select(["bid", "covered"]).to_pylist()]
+    if known:
+        rows += _decide(sent.column("bid").to_pylist(), list(known), np.concatenate(parts), np.concatenate(keys), numbers, times, places, owners)
+    return pa.Table.from_batches([_batch(["bid", "covered"], [pa.int64(), pa.binary()], rows)])
+
+
+def _decide(
+    bids: list[int], strings: list[bytes], part: np.ndarray, key: np.ndarray,
+    numbers: list[np.ndarray], times: list[np.ndarray], places: list[np.ndarray], owners: list[np.ndarray],
+) -> list[tuple]:
+    """The covered ranges of each chunk, given its strings by number, how often and where they occur, and their owners."""
+    owner = np.full(len(strings), _LAST)
+    for number, ids in zip(numbers, owners):
+        owner[number] = np.minimum(owner[number], ids)
     windows = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
     offset = np.cumsum(windows) - windows
-    least = np.empty(int(windows.sum()), np.int64)
-    for p in np.unique(part).tolist():
-        own = np.flatnonzero(part == p)
+    least = np.repeat(owner, windows)
+    _, which, alike = np.unique(key, return_inverse=True, return_counts=True)
+    several = alike[which] > 1
+    for p in np.unique(part[several]).tolist():
+        own = np.flatnonzero((part == p) & several)
         index = RunIndex([strings[s] for s in own.tolist()])
         found, n = index.least(owner[own]), windows[own]
         turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         least[np.repeat(offset[own], n) + turn] = found[np.repeat(index.begin, n) + turn]
     rows = []
-    for bid, number, count, begin, ids in zip(bids, numbers, times, places, docs):
-        string = np.repeat(number, count)
-        n = windows[string]
-        total = int(n.sum())
-        which = np.repeat(np.arange(len(string)), n)
-        turn = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        hit = least[offset[string][which] + turn] < ids[which]
+    for bid, number, count, begin, ids in zip(bids, numbers, times, places, owners):
+        n = windows[number]
+        turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        hit = least[np.repeat(offset[number], n) + turn] < np.repeat(ids, n)
         if not hit.any():
             continue
+        string = np.repeat(np.arange(len(number)), n)
         edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
         inner = np.flatnonzero((turn == 0) & hit & np.concatenate(([False], hit[:-1])))
         first = np.union1d(np.flatnonzero(edge[:-1] == 1), inner)
         last = np.union1d(np.flatnonzero(edge[1:] == -1), inner - 1)
-        at = begin[which[first]] + turn[first]
-        rows.append((bid, _squeeze(at.astype("<u4"), (turn[last] - turn[first] + LENGTH).astype("<u4"))))
-    return pa.Table.from_batches([_batch(["bid", "covered"], [pa.int64(), pa.binary()], rows)])
+        # each range stands at every place of its string
+        many = count[string[first]].astype(np.int64)
+        which = np.repeat(np.arange(len(first)), many)
+        start = (np.cumsum(count, dtype=np.int64) - count)[string[first]]
+        place = begin[np.repeat(start - np.cumsum(many) + many, many) + np.arange(len(which))]
+        at, size = place + turn[first][which], (turn[last] - turn[first] + LENGTH)[which]
+        order = np.argsort(at)
+        at, size = _merged(at[order], size[order])
+        rows.append((bid, _squeeze(at.astype("<u4"), size.astype("<u4"))))
+    return rows
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """(payload, covered): every chunk of ``docs`` with the packed ranges of its covered bytes."""
-    spark = docs.sparkSession
-    packed = chunks(docs)
-    size = packed.agg(F.sum("size")).first()[0] or 0
+    spark = small_batches(docs.sparkSession)
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    packed = chunks(docs, size)
     blocks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
-    lists = packed.select("bid", "payload").mapInArrow(_anchor_lists(blocks), "p int, bid long, anchors binary")
+    bits = min(64, SPARE_BITS + int(size).bit_length())
+    lists = packed.mapInArrow(_anchor_lists(blocks, bits), "p int, bid long, anchors binary")
     found = lists.groupBy("p").applyInArrow(_repeated(blocks), "bid long, found binary")
     found = cut(found.groupBy("bid").agg(F.collect_list("found").alias("found")))
     strings = packed.join(found, "bid").select("bid", "payload", "found")
-    strings = strings.mapInArrow(_strings(blocks), "q int, bid long, strings binary")
+    strings = strings.mapInArrow(_strings(blocks, bits), "q int, bid long, strings binary, covered binary")
     ranges = strings.groupBy("q").applyInArrow(_covered, "bid long, covered binary")
     ranges = cut(ranges.groupBy("bid").agg(F.collect_list("covered").alias("covered")))
     return packed.join(ranges, "bid", "left").select("payload", "covered")
