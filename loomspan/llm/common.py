@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,8 +46,13 @@ def fresh_table(spark: SparkSession, kind: str) -> str:
     return _made[-1]
 
 
+def made() -> tuple[str, ...]:
+    """Intermediate folders and tables that are not yet swept."""
+    return tuple(_made)
+
+
 def sweep(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Delete intermediate folders and tables, once the results made from them are written; ``keep``: paths that stay."""
+    """Delete intermediate folders and tables other than ``keep``, once the results made from them are written."""
     for name in [x for x in _made if x not in keep]:
         _made.remove(name)
         if "/" in name:
@@ -76,6 +81,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id), one of those that repeat it, and all rows without doc_id.
+
+    Texts move once: the join and the window share their key.
+    """
+    row = free_name(docs, "_row")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi").withColumn(row, F.row_number().over(order))
+    return named.where(F.col(row) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

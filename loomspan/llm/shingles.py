@@ -1,84 +1,103 @@
-"""Near copies by exact shingle similarity: documents whose sets of five-word shingles have a Jaccard index of 0.8 or more.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard index of 0.8 or more.
 
-The candidate search is exact. Two sets of at least 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each, in
-any order that holds for all sets, so only these prefixes are joined. The order puts shingles that are frequent in a
-sample last; it decides how many candidates there are, not which links are found. Documents with equal sets are one node.
+Candidates come from two searches. SimHash over the five-word shingles links fingerprints within two bits through the
+segment-popcount grid of ``simhash``; it joins large groups of all but equal texts. A Jaccard index of 0.8 is about ten
+differing bits, where that grid no longer prunes, so the rest is found by an exact prefix filter: two sets of at least
+0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each, in any order that holds for all sets. The order puts
+shingles last that are frequent (every task counts all its documents); it decides how many candidates there are, not
+which links are found. Documents with equal sets are one node.
 
-Candidates come in two rounds. First each holder of a shingle is compared with the least holder, which is linear and
-joins large groups of near copies; then all holders of a shingle that are not yet in one component are compared with each
-other. Every link is verified by the size of the intersection.
+Prefixes stay in packs of documents; only their sorted 64-bit values are dealt by range, as differences, and what comes
+back is which of them another set has too. Few do, and only those become rows. First each holder of such a shingle is
+compared with the least holder, which is linear; then holders that are not yet in one component are compared with each
+other. Set sizes and places in the order bound the overlap beforehand. Every link is verified by the exact sets, made
+anew from the texts of the candidates, which are sent compressed.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and texts without words have the empty set and
-are copies of each other; rows without doc_id link nothing and stay; an empty table gives an empty result.
+are copies of each other; rows without doc_id link nothing and stay; of rows that repeat a doc_id one stays; an empty
+table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from . import simhash
+from .common import connected_components, cut, fresh_table, keep_listed, shuffle_partitions, small_batches
 from .simhash import _LOWER, SEED
+from .suffix import _batch, _open, _pack_sorted, _rows, _squeeze, _unpack_sorted
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Documents whose shingles are counted for the order, and how many of the frequent ones are put last.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Frequent shingles that the order puts last (bound of a broadcast), and shingles that a task counts at once.
+FREQUENT, SEGMENT = 200_000, 1_000_000
+#: Prefixes, in bytes, that a range of shingles stands for.
+RANGE_BYTES = 16_000_000
+#: Bits of the filter that lets candidates' texts through, as a power of two (bound of a broadcast: 1 MB).
+FILTER_BITS = 23
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The different shingles of a text, as sorted signed 64-bit hashes."""
+def _hashes(text: str | None) -> np.ndarray:
+    """Hashes of all shingles of a text, repeats included."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(WORDS, len(words))
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
 
 
-def _key(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different shingles of a text, as sorted 64-bit hashes."""
+    return np.unique(_hashes(text))
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values], dtype=np.int64))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, np.int64)])))
+def _key(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(key, shingles) per row of ``docs``: a hash of the whole set, and the set."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a segment share, sorted, and how many do; over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                found = [shingle_set(t.as_py()) for t in whole.column("text").slice(at, 256)]
-                keys = pa.array([_key(s) for s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, _lists(found)], ["key", "shingles"])
+        held, size = [], 0
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles array<long>")
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > 2
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["s", "n"])
 
+        for batch in batches:
+            for t in batch.column("text"):
+                held.append(shingle_set(t.as_py()))
+                size += len(held[-1])
+                if size >= SEGMENT:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample share, sorted, and how many do."""
-    m = -(-docs.count() // SAMPLE) or 1
-    own = sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0)).select(F.explode("shingles").alias("s"))
-    top = own.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
-    s, n = top.column("s").to_numpy(), top.column("n").to_numpy()
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long")
+    top = seen.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    s, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, prefix): set hash, set size and the shingles of which a near copy must share one."""
+def _packs(docs: DataFrame) -> DataFrame:
+    """(bid, doc_id, key, n, fp, payload): per batch of documents, arrays of ids, hashes of whole sets, set sizes and
+    fingerprints, and the shingles of which a near copy must share one, in order."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def prefix(own: np.ndarray) -> np.ndarray:
@@ -91,67 +110,212 @@ def prefixes(docs: DataFrame) -> DataFrame:
         return own[np.lexsort((own, rank))[:size]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bid = TaskContext.get().partitionId() << 24
         for batch in batches:
-            keys, sizes, firsts = [], [], []
+            keys, sizes, firsts, fps = [], [], [], []
             for t in batch.column("text"):
-                own = shingle_set(t.as_py())
+                every = _hashes(t.as_py())
+                own = np.unique(every)
                 keys.append(_key(own))
                 sizes.append(len(own))
                 firsts.append(prefix(own))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)],
-                ["doc_id", "key", "n", "prefix"],
-            )
+                fps.append(simhash.vote(every))
+            counts = np.array([len(x) for x in firsts], "<u4")
+            row = bid, batch.column("doc_id").to_pylist(), keys, sizes, np.array(fps, np.uint64).view(np.int64).tolist(), _squeeze(counts, np.concatenate([*firsts, np.empty(0, np.uint64)]))
+            yield _batch(_PACK_NAMES, _PACK_KINDS, [row])
+            bid += 1
+
+    spark, name = docs.sparkSession, fresh_table(docs.sparkSession, "packs")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PACK_SCHEMA)
+    made.write.bucketBy(shuffle_partitions(spark), "bid").saveAsTable(name)
+    return spark.table(name)
+
+
+_PACK_NAMES = ["bid", "doc_id", "key", "n", "fp", "payload"]
+_PACK_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+_PACK_SCHEMA = "bid long, doc_id array<long>, key array<long>, n array<int>, fp array<long>, payload binary"
+
+
+def _prefixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, the row in the pack that holds each, and its place in that row's order; of the rows in question only."""
+    counts, values = _open(row["payload"])
+    counts = np.frombuffer(counts, "<u4").astype(np.int64)
+    values = np.frombuffer(values, np.uint64)
+    holder = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    own = np.zeros(len(counts), bool)
+    own[row["rows"]] = True
+    take = own[holder]
+    return values[take], holder[take], place[take]
+
+
+def _lists(ranges: int) -> Callable:
+    """Pack -> its different shingles by range, with a flag for those that two of its sets have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                values, n = np.unique(_prefixes(row)[0], return_counts=True)
+                place = (values % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                values, n, place = values[order], n[order], place[order]
+                edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)] if len(place) else [0]
+                yield _batch(["p", "bid", "found"], [pa.int32(), pa.int64(), pa.binary()], [
+                    (int(place[a]), row["bid"], _squeeze(_pack_sorted(values[a:b] // np.uint64(ranges)), np.packbits(n[a:b] > 1)))
+                    for a, b in zip(edges, edges[1:])
+                ])
+
+    return run
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, key long, n int, prefix array<long>"
-    )
+
+def _repeated(ranges: int) -> Callable:
+    """Shingles of one range from all packs -> for each pack, those that several sets have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = np.uint64(table.column("p")[0].as_py())
+        lists, flags = [], []
+        for blob in table.column("found"):
+            packed, bits = _open(blob.as_py())
+            lists.append(_unpack_sorted(packed))
+            flags.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(lists[-1])).astype(bool))
+        every = np.sort(np.concatenate([*lists, *(v[f] for v, f in zip(lists, flags))]))
+        several = np.unique(every[1:][every[1:] == every[:-1]])
+        rows = []
+        for bid, own in zip(table.column("bid").to_pylist(), lists):
+            if len(several):
+                own = own[several[np.minimum(np.searchsorted(several, own), len(several) - 1)] == own]
+                if len(own):
+                    rows.append((bid, _squeeze(own * np.uint64(ranges) + p)))
+        return pa.Table.from_batches([_batch(["bid", "found"], [pa.int64(), pa.binary()], rows)])
+
+    return run
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack and its repeated shingles -> (s, key, n, i): holders of each, their set sizes and its place in their order."""
+    for batch in batches:
+        for row in _rows(batch):
+            values, holder, place = _prefixes(row)
+            several = np.sort(np.concatenate([np.frombuffer(_open(x)[0], np.uint64) for x in row["found"]]))
+            take = several[np.minimum(np.searchsorted(several, values), len(several) - 1)] == values
+            holder = holder[take]
+            columns = values[take].view(np.int64), np.array(row["key"])[holder], np.array(row["n"], np.int32)[holder], place[take].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "n", "i"])
+
+
+def held_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(s, key, n, i): prefix shingles that several different sets hold, and their holders."""
+    spark = packs.sparkSession
+    rows = cut(nodes.groupBy("bid").agg(F.collect_list("pos").alias("rows")))  # bounded by a pack
+    ranges = max(shuffle_partitions(spark), int((nodes.agg(F.sum("n")).first()[0] or 0) * 1.6) // RANGE_BYTES)
+    lists = packs.select("bid", "payload").join(rows, "bid").select("bid", "payload", "rows")
+    lists = lists.mapInArrow(_lists(ranges), "p int, bid long, found binary")
+    found = lists.groupBy("p").applyInArrow(_repeated(ranges), "bid long, found binary")
+    found = found.groupBy("bid").agg(F.collect_list("found").alias("found")).join(rows, "bid")
+    own = packs.select("bid", "key", "n", "payload").join(found, "bid").select("payload", "key", "n", "rows", "found")
+    return own.mapInArrow(_holders, "s long, key long, n int, i int")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, body): compressed texts of ``ids`` and, by chance, of some others."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.groupBy((bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64))")).alias("b")).toArrow()
+    let = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    let[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(let.view(np.uint8), bitorder="little").astype(bool))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            some = batch.filter(pa.array(shared.value[batch.column("bit").to_numpy()]))
+            bodies = [squeeze((t.as_py() or "").encode()) for t in some.column("text")]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(run, "doc_id long, body binary")
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their texts -> those whose sets are similar enough."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    last: list = [None, None]
+    for batch in batches:
+        good = []
+        for a, b in zip(batch.column("a"), batch.column("b")):
+            b = b.as_py()
+            if last[0] != b:  # a leader comes many times
+                last[:] = [b, shingle_set(unpack(b).decode())]
+            x, y = shingle_set(unpack(a.as_py()).decode()), last[1]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
+        yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of set hashes whose sets are similar enough."""
     pairs = cut(pairs)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    ids = nodes.join(ends, "key").select("doc_id")
-    known = sets(docs.join(ids, "doc_id", "left_semi")).join(ends, "key", "left_semi").dropDuplicates(["key"])
-    known = cut(known)
-    both = pairs.join(known.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(
-        known.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v"
+    ids = cut(nodes.select("key", "doc_id").join(ends, "key"))
+    # of rows that repeat a doc_id any may come; only the text with the set in question counts
+    known = _texts(docs, ids.select("doc_id")).join(ids, "doc_id").select("key", "body")
+    known = cut(known.mapInArrow(_own, "key long, body binary").dropDuplicates(["key"]))
+    both = pairs.join(known.select(F.col("key").alias("u"), F.col("body").alias("a")), "u").join(
+        known.select(F.col("key").alias("v"), F.col("body").alias("b")), "v"
     )
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= SIMILARITY * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+    return both.select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the set that the key names."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        keys = batch.column("key").to_pylist()
+        good = [k == _key(shingle_set(unpack(b.as_py()).decode())) for k, b in zip(keys, batch.column("body"))]
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+
+def _possible(x: str, y: str):
+    """Whether sizes and the places of a shared shingle leave room for enough overlap."""
+    nx, ny, ix, iy = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.i", f"{y}.i"))
+    most = F.least(ix, iy) + 1 + F.least(nx - ix, ny - iy) - 1
+    return most >= SIMILARITY / (1 + SIMILARITY) * (nx + ny) - 1e-6
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) per row with a doc_id: the smallest doc_id reachable over links."""
+    small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null")
-    rows = cut(prefixes(docs))
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    firsts = rows.dropDuplicates(["key"]).select("key", "n", F.explode("prefix").alias("s"))
-    groups = firsts.groupBy("s").agg(F.count("*").alias("_m"), F.min(F.struct("key", "n")).alias("least")).where("_m > 1")
-    held = cut(firsts.join(groups, "s").select("s", "key", "n", "least"))
-    sizes = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
-    stars = held.where(F.col("key") != F.col("least.key")).where(sizes(F.col("n"), F.col("least.n")))
-    stars = cut(stars.select(F.col("key").alias("u"), F.col("least.key").alias("v")).distinct())
+    packs = _packs(docs)
+    every = packs.select("bid", F.posexplode(F.arrays_zip("doc_id", "key", "n", "fp")).alias("pos", "d")).select("bid", "pos", "d.*")
+    nodes = every.groupBy("key").agg(F.min(F.struct("doc_id", "bid", "pos")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    nodes = cut(nodes.select("key", "at.*", "n", "fp"))
+
+    first = cut(nodes.groupBy("fp").agg(F.min("key").alias("key")))
+    near = cut(simhash.links(first.select("fp")))
+    by_print = near.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v")
+    by_print = by_print.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        nodes.select("fp", F.col("key").alias("u")).join(first.select("fp", F.col("key").alias("v")), "fp").where("u <> v").select("u", "v")
+    )
+    held = cut(held_shingles(packs, nodes))
+    groups = held.groupBy("s").agg(F.min(F.struct("key", "n", "i")).alias("y"))
+    stars = held.select("s", F.struct("key", "n", "i").alias("x")).join(groups, "s").where("x.key <> y.key").where(_possible("x", "y"))
+    stars = stars.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).unionByName(by_print)
+    stars = cut(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     links = cut(_verified(stars, nodes, docs))
     roots = cut(connected_components(links))
-    placed = held.join(roots, held.key == roots.node, "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+    placed = held.join(roots, held.key == roots.node, "left").select("s", "key", "n", "i", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
     placed = cut(placed.join(mixed, "s"))
-    a, b = (placed.select("s", *(F.col(c).alias(c + x) for c in ("key", "n", "root"))) for x in "12")
-    rest = a.join(b, "s").where("root1 <> root2 and key1 > key2").where(sizes(F.col("n1"), F.col("n2")))
-    rest = rest.select(F.col("key1").alias("u"), F.col("key2").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    x, y = (placed.select("s", F.struct("key", "n", "i", "root").alias(c)) for c in "xy")
+    rest = x.join(y, "s").where("x.root <> y.root and x.key > y.key").where(_possible("x", "y"))
+    rest = rest.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     links = cut(links.unionByName(_verified(rest, nodes, docs)))
     roots = cut(connected_components(links))
     tied = nodes.join(roots, nodes.key == roots.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = tied.join(least, "root").select("key", "component_id")
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    return every.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each group; of rows that repeat a doc_id, one stays."""
-    keep = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order))
-    return named.where("_row = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with the document of smallest doc_id of each group."""
+    return keep_listed(docs, components(docs).where("doc_id = component_id").select("doc_id"))

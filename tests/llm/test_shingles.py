@@ -14,7 +14,7 @@ def plain_set(text):
 
 
 def test_stage_keeps_no_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "SAMPLE", 20)
+    monkeypatch.setattr(shingles, "SEGMENT", 600)
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(400)]
     line = " ".join(rng.choice(words, 30))
