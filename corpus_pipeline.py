@@ -5,6 +5,11 @@ writes each stage's result as Parquet in the shared folder and reads it again, s
 executor costs at most one stage. All stages but the last return the columns of ``documents``; the last returns one row
 per document with its token ids.
 
+Every stage takes what the one before it kept, with these cases defined: null and empty texts score below 0.5, are copies
+of each other, lose nothing, hold no item and have no tokens; rows without doc_id pass every stage; of rows that repeat a
+doc_id one passes the near-duplicate stage; an empty table gives an empty result; further columns pass through all stages
+but the last.
+
 The pipeline has no SQL counterpart (transducers, random walks and merges are not SQL); ``tests/llm`` holds it against a
 composition of brute-force versions.
 """
@@ -15,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm import bpe, decontaminate, shingles, suffix, toxicity
-from loomspan.llm.common import fresh_path
+from loomspan.llm.common import fresh_path, made, sweep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles (Jaccard 0.8 or more) the one of smallest doc_id stays."""
+    """Of each group linked by SimHash or prefixes of 5-word shingles (Jaccard 0.8 or more) the smallest doc_id stays."""
     return shingles.drop_near_copies(docs)
 
 
@@ -56,10 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage made on its way goes when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for _, stage in STAGES:
         path = fresh_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(spark, keep=(*before, path))
     return docs
