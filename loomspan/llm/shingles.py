@@ -9,8 +9,9 @@ which links are found. Documents with equal sets are one node.
 
 Prefixes stay in packs of documents; only their sorted 64-bit values are dealt by range, as differences, and what comes
 back is which of them another set has too. Few do, and only those become rows. First each holder of such a shingle is
-compared with the least holder, which is linear; then holders that are not yet in one component are compared with each
-other. Set sizes and places in the order bound the overlap beforehand. Every link is verified by the exact sets, made
+compared with the holder that shares most, the likely original of a group of copies, which is linear; then holders that
+are not yet in one component are compared with each other. Set sizes, places in the order and the count of repeated
+shingles before a place bound the overlap beforehand, so edited copies that cannot be near meet no further. Every link is verified by the exact sets, made
 anew from the texts of the candidates, which are sent compressed.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and texts without words have the empty set and
@@ -192,19 +193,25 @@ def _repeated(ranges: int) -> Callable:
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pack and its repeated shingles -> (s, key, n, i): holders of each, their set sizes and its place in their order."""
+    """Pack and its repeated shingles -> (s, key, n, i, h, m): holders of each, their set sizes, its place in their order,
+    how many repeated ones stand before it, and how many there are."""
     for batch in batches:
         for row in _rows(batch):
             values, holder, place = _prefixes(row)
             several = np.sort(np.concatenate([np.frombuffer(_open(x)[0], np.uint64) for x in row["found"]]))
             take = several[np.minimum(np.searchsorted(several, values), len(several) - 1)] == values
             holder = holder[take]
-            columns = values[take].view(np.int64), np.array(row["key"])[holder], np.array(row["n"], np.int32)[holder], place[take].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "n", "i"])
+            many = np.bincount(holder, minlength=len(row["key"]))
+            before = np.arange(len(holder)) - (np.cumsum(many) - many)[holder]
+            columns = (
+                values[take].view(np.int64), np.array(row["key"])[holder],
+                *(x.astype(np.int32) for x in (np.array(row["n"])[holder], place[take], before, many[holder])),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "n", "i", "h", "m"])
 
 
 def held_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, key, n, i): prefix shingles that several different sets hold, and their holders."""
+    """(s, key, n, i, h, m): prefix shingles that several different sets hold, and their holders."""
     spark = packs.sparkSession
     rows = cut(nodes.groupBy("bid").agg(F.collect_list("pos").alias("rows")))  # bounded by a pack
     ranges = max(shuffle_partitions(spark), int((nodes.agg(F.sum("n")).first()[0] or 0) * 1.6) // RANGE_BYTES)
@@ -213,7 +220,7 @@ def held_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = lists.groupBy("p").applyInArrow(_repeated(ranges), "bid long, found binary")
     found = found.groupBy("bid").agg(F.collect_list("found").alias("found")).join(rows, "bid")
     own = packs.select("bid", "key", "n", "payload").join(found, "bid").select("payload", "key", "n", "rows", "found")
-    return own.mapInArrow(_holders, "s long, key long, n int, i int")
+    return own.mapInArrow(_holders, "s long, key long, n int, i int, h int, m int")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -274,10 +281,13 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(x: str, y: str):
-    """Whether sizes and the places of a shared shingle leave room for enough overlap."""
-    nx, ny, ix, iy = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.i", f"{y}.i"))
-    most = F.least(ix, iy) + 1 + F.least(nx - ix, ny - iy) - 1
-    return most >= SIMILARITY / (1 + SIMILARITY) * (nx + ny) - 1e-6
+    """Whether a shared shingle leaves room for enough overlap: repeated ones before it, and any from it on.
+
+    A shingle before it that both sets have is in both prefixes, as all sets follow one order, and so is repeated.
+    """
+    of = lambda f, c: f(F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    after = F.least(F.col(f"{x}.n") - F.col(f"{x}.i"), F.col(f"{y}.n") - F.col(f"{y}.i"))
+    return of(F.least, "h") + after >= SIMILARITY / (1 + SIMILARITY) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -296,16 +306,16 @@ def components(docs: DataFrame) -> DataFrame:
         nodes.select("fp", F.col("key").alias("u")).join(first.select("fp", F.col("key").alias("v")), "fp").where("u <> v").select("u", "v")
     )
     held = cut(held_shingles(packs, nodes))
-    groups = held.groupBy("s").agg(F.min(F.struct("key", "n", "i")).alias("y"))
-    stars = held.select("s", F.struct("key", "n", "i").alias("x")).join(groups, "s").where("x.key <> y.key").where(_possible("x", "y"))
+    groups = held.groupBy("s").agg(F.max(F.struct("m", "key", "n", "i", "h")).alias("y"))
+    stars = held.select("s", F.struct("key", "n", "i", "h").alias("x")).join(groups, "s").where("x.key <> y.key").where(_possible("x", "y"))
     stars = stars.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).unionByName(by_print)
     stars = cut(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     links = cut(_verified(stars, nodes, docs))
     roots = cut(connected_components(links))
-    placed = held.join(roots, held.key == roots.node, "left").select("s", "key", "n", "i", F.coalesce("root", "key").alias("root"))
+    placed = held.join(roots, held.key == roots.node, "left").select("s", "key", "n", "i", "h", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
     placed = cut(placed.join(mixed, "s"))
-    x, y = (placed.select("s", F.struct("key", "n", "i", "root").alias(c)) for c in "xy")
+    x, y = (placed.select("s", F.struct("key", "n", "i", "h", "root").alias(c)) for c in "xy")
     rest = x.join(y, "s").where("x.root <> y.root and x.key > y.key").where(_possible("x", "y"))
     rest = rest.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     links = cut(links.unionByName(_verified(rest, nodes, docs)))
