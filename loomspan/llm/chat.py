@@ -11,7 +11,8 @@ largest group is one conversation, which is one output row.
 
 Defined cases: a null role or text is an empty string, null turns come first, turns with equal numbers follow role and
 text, repeated rows are repeated turns; rows with a null conv_id are left out; the last of an odd block has no partner:
-its prompt is empty and its rejected side null; pairs that agree throughout have empty completions; marks inside texts
+its prompt is empty and its rejected side null; a conversation without turns comes first in its block and shares none;
+very long conversations are one row each; other columns are ignored; pairs that agree throughout have empty completions; marks inside texts
 are broken by a space; an empty table gives an empty result.
 """
 
@@ -39,7 +40,7 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def pair_neighbours(convs: DataFrame) -> DataFrame:
     """(chosen_id, chosen, rejected_id, rejected) of neighbours within blocks of conv_ids."""
-    own = Window.partitionBy("_block").orderBy(F.col("turns")[0]["text"], "conv_id")
+    own = Window.partitionBy("_block").orderBy(F.get("turns", F.lit(0))["text"], "conv_id")
     placed = (
         convs.withColumn("_block", F.floor(F.col("conv_id") / BLOCK))
         .withColumn("_row", F.row_number().over(own))
@@ -55,7 +56,7 @@ def common_turns(a: Column, b: Column) -> Column:
     """The number of leading turns in which two arrays of turns agree in role and text."""
     shorter = F.least(F.size(a), F.size(b))
     differ = F.filter(
-        F.sequence(F.lit(1), shorter),
+        F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>")),
         lambda i: (F.element_at(a, i)["role"] != F.element_at(b, i)["role"])
         | (F.element_at(a, i)["text"] != F.element_at(b, i)["text"]),
     )
