@@ -6,18 +6,23 @@ header. Payload bytes move once, by page_id, to the task that writes them; a dig
 moves only as one partly aggregated minimum and as small headers.
 
 Archives are gzip files of WARC/1.1 records in a shared folder, written and listed by Spark, so any store that Spark
-reaches will do. Reading follows Content-Length, never a separator in the payload.
+reaches will do. A file takes as many records as make about ``FILE_BYTES`` at their mean size, and ``MOST_RECORDS`` at
+most; it is read as a stream that holds one record at a time. Reading follows Content-Length, never a separator in the
+payload. Dates are those of UTC.
 
 Defined cases: a null html is an empty payload; payloads under ``MIN_BYTES`` are always responses; repeated rows with
 the least page_id are all responses; a null page_id refers to the least known one and is a response if there is none;
-line breaks in a url are escaped; an empty table gives an empty archive and result.
+line breaks in a url are escaped; a very long payload makes a long record and may make a file of its own; other columns
+are ignored; an empty table gives an empty archive and result.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +33,8 @@ from .common import cut, fresh_path
 MIN_BYTES = 100
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records a file, so that a reader holds a bounded piece of the archive at once.
-RECORDS_PER_FILE = 4000
+#: What a file of the archive holds at about, before compression, and records at most.
+FILE_BYTES, MOST_RECORDS = 64_000_000, 4000
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -52,9 +57,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.sha2(body, 256).alias("digest"),
         F.octet_length(body).cast("long").alias("bytes"),
     )
-    ids = cut(resolve(rows.select("page_id", "digest", "bytes"))).select(
-        F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "original"
-    )
+    headers = cut(rows.select("page_id", "digest", "bytes"))
+    mean = headers.agg(F.avg(F.col("bytes") + 500)).first()[0] or 500
+    ids = cut(resolve(headers)).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "original")
     joined = rows.join(ids, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")))
     revisit = F.col("original").isNotNull()
     record_id = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -69,7 +74,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", record_id(F.col("page_id"))),
-        line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(
@@ -84,26 +89,25 @@ def write_archives(pages: DataFrame, path: str) -> None:
         joined.select(F.concat(head, block).alias("value"))
         .write.option("compression", "gzip")
         .option("lineSep", CRLF + CRLF)
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", max(1, min(MOST_RECORDS, int(FILE_BYTES / mean))))
         .text(path)
     )
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record in the bytes of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        start = end + 4
-        at = start + int(fields["content-length"])
-        yield fields, data[start:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record does not end at byte {at}")
-        at += 4
+def records(archive: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record of an archive, one after the other."""
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where one should start: {line[:40]!r}")
+        fields = {}
+        while (line := stream.readline().decode().removesuffix(CRLF)) != "":
+            k, _, v = line.partition(": ")
+            fields[k.lower()] = v
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]) or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {fields.get('warc-record-id')} does not end where its header says")
+        yield fields, block
 
 
 def _page(name: str) -> int | None:
@@ -111,9 +115,9 @@ def _page(name: str) -> int | None:
     return None if value == "none" else int(value)
 
 
-def parse(data: bytes) -> Iterator[tuple]:
+def parse(archive: bytes | BinaryIO) -> Iterator[tuple]:
     """The result row of each record; a response's digest and length are taken from its payload, and compared."""
-    for fields, block in records(data):
+    for fields, block in records(archive):
         head, _, payload = block.partition(b"\r\n\r\n")
         size = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
         digest, kind = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"]
@@ -131,7 +135,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for content in batch.column("content"):
-                rows = list(parse(gzip.decompress(content.as_py())))
+                with gzip.open(io.BytesIO(content.as_py())) as archive:
+                    rows = list(parse(archive))
                 columns = zip(*rows) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
