@@ -1,18 +1,23 @@
 """Approximate nearest neighbours over learned partitions.
 
 A bounded sample (``SAMPLE`` rows, those of least hash) gives a k-nearest-neighbour graph. The graph is cut into
-partitions of equal size by recursive spectral bisection: each half is split at the median of the slowest mode of the
+partitions of equal size, about one for ``PART_ROWS`` rows of the table and ``MOST_PARTS`` at most, by recursive spectral
+bisection: each half is split at the median of the slowest mode of the
 neighbour-averaging operator. A softmax classifier then learns, from the vector alone, in which partitions the
 neighbours of a vector lie. Every row of the table is indexed under its most probable partition; a query is routed to
 its most probable partitions, as many as reach ``TARGET`` recall on the sample, and reranked there by exact cosine.
 
-Work is dealt in blocks: rows of one partition are packed into blocks of at most ``BLOCK`` vectors with a salt, and
-queries are packed likewise and sent to each salt of the partitions they probe, so neither a partition nor a vector that
-a third of all rows hold lands in one task.
+Of rows with equal vectors only those of the least ids can be among the nearest, one more than are asked for (a query's own
+may be among them); these are chosen by a limit within each vector, taken before the shuffle as well, so a vector that a
+third of all rows hold is a few candidates. Rows of one partition are packed into blocks of at most ``BLOCK`` vectors.
+Queries, packed likewise, are sent to the partitions they probe; a partition of more than ``TOGETHER`` blocks is dealt
+over salts in proportion to its own size.
 
 Defined cases: null, zero or non-finite vectors, vectors of another length than the most frequent in the sample, and
-rows without id take no part; a repeated query counts once, a repeated row is a candidate each time; ties go to the smaller vec_id; a row with the query's own vec_id is no candidate; an empty
-table gives no rows.
+rows without id take no part; of a query id with several vectors the least counts, in the order of arrays; a repeated row
+is a candidate each time; ties go to the smaller vec_id; a row with the query's own vec_id is no candidate; vectors are
+scaled by powers of two, which changes no cosine, so very large and very small components neither overflow nor vanish;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rows that the partitions and the classifier are fitted on.
-SAMPLE = 4096
-PARTS = 16
+SAMPLE = 8192
+#: Rows of the table a partition stands for, least and most partitions; the most is the bound of a broadcast.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 1024, 16, 256
 GRAPH_K = 10
-BLOCK = 2048
+BLOCK, TOGETHER = 1024, 8
 TARGET = 0.97
 TOP = 5
 
@@ -94,10 +102,12 @@ def train_router(unit: np.ndarray, share: np.ndarray, rounds: int = 400) -> tupl
 class Router:
     """What the sample taught: dimension, classifier, and how many partitions a query probes."""
 
-    def __init__(self, sample: np.ndarray, parts: int = PARTS, target: float = TARGET) -> None:
+    def __init__(self, sample: np.ndarray, parts: int = LEAST_PARTS, target: float = TARGET) -> None:
         self.dim, n = sample.shape[1], len(sample)
         unit = _unit(sample) if n else sample
-        self.parts = parts if n >= 16 * parts else 1
+        while parts > 1 and n < 16 * parts:
+            parts //= 2
+        self.parts = parts
         self.weight, self.bias, self.probes = np.zeros((self.dim, self.parts)), np.zeros(self.parts), 1
         if self.parts == 1:
             return
@@ -127,11 +137,16 @@ def _vectors(batch: pa.RecordBatch, dim: int | None = None) -> tuple[np.ndarray,
     ids, lists = ids.filter(fits), lists.filter(fits)
     flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
     good = np.isfinite(flat).all(axis=1) & (flat != 0).any(axis=1)
-    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), np.ascontiguousarray(flat[good])
+    flat = flat[good]
+    if len(flat):
+        flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, keepdims=True))[1])
+    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), np.ascontiguousarray(flat)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, target: float = TARGET) -> Router | None:
-    """Fit on the ``sample`` rows whose hash is least; null if no row takes part."""
+def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int | None = None, target: float = TARGET) -> Router | None:
+    """Fit on the ``sample`` rows whose hash is least; null if no row takes part. Partitions follow the table's rows."""
+    if parts is None:
+        parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << round(np.log2(max(1, vectors.count() / PART_ROWS)))))
     chosen = (
         vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0")
         .select("vec_id", "embedding")
@@ -147,54 +162,41 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, target: fl
     return Router(np.concatenate(found), parts, target)
 
 
-def _pack(part: int, salt: int, ids: np.ndarray, rows: np.ndarray) -> tuple:
-    return part, salt, ids.tobytes(), np.ascontiguousarray(rows).tobytes()
-
-
-_PACKED = "part int, salt int, ids binary, vecs binary"
-_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_KINDS = [pa.int32(), pa.binary(), pa.binary()]
 
 
-def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _KINDS)], names)
+def _packed(parts: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """(part, ids, vecs) blocks of at most ``BLOCK`` vectors; parts: (row, partition) of each vector to pack."""
+    out = []
+    for p in np.unique(parts[:, 1]).tolist():
+        rows = parts[parts[:, 1] == p, 0]
+        for at in range(0, len(rows), BLOCK):
+            own = rows[at : at + BLOCK]
+            out.append((p, ids[own].tobytes(), np.ascontiguousarray(x[own]).tobytes()))
+    columns = zip(*out) if out else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _KINDS)], ["part", "ids", "vecs"])
 
 
-def index(vectors: DataFrame, router: Router, salts: int) -> DataFrame:
-    """Every row under its most probable partition, packed in blocks dealt over ``salts``."""
+def blocks(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
+    """(part, ids, vecs): every row, packed, under its ``probes`` most probable partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
             ids, x = _vectors(batch, router.dim)
-            part, out = router.order(_unit(x))[:, 0] if len(x) else np.empty(0, int), []
-            for p in np.unique(part):
-                rows = np.flatnonzero(part == p)
-                for at in range(0, len(rows), BLOCK):
-                    own = rows[at : at + BLOCK]
-                    turn += 1
-                    out.append(_pack(int(p), int((ids[own[0]] * 2654435761 + turn) % salts), ids[own], x[own]))
-            yield _packed(out, ["part", "salt", "ids", "vecs"])
+            if len(x):
+                probed = router.order(_unit(x))[:, :probes]
+                rows = np.repeat(np.arange(len(x)), probed.shape[1])
+                yield _packed(np.stack([rows, probed.ravel()], 1), ids, x)
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, _PACKED)
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "part int, ids binary, vecs binary")
 
 
-def route(queries: DataFrame, router: Router, salts: int) -> DataFrame:
-    """Queries under each partition they probe, packed, for every salt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = _vectors(batch, router.dim)
-            probed, out = router.order(_unit(x))[:, : router.probes] if len(x) else np.empty((0, 1), int), []
-            for p in np.unique(probed):
-                rows = np.flatnonzero((probed == p).any(axis=1))
-                for at in range(0, len(rows), BLOCK):
-                    out.append(_pack(int(p), 0, ids[rows[at : at + BLOCK]], x[rows[at : at + BLOCK]]))
-            yield _packed(out, ["part", "none", "ids", "vecs"])
-
-    packed = queries.select("vec_id", "embedding").mapInArrow(run, "part int, none int, ids binary, vecs binary")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    return packed.select("part", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"), every)
+def candidates(vectors: DataFrame, top: int) -> DataFrame:
+    """The rows of ``vectors`` that can be among the ``top`` nearest: of equal vectors, those of the least ids."""
+    alike = Window.partitionBy("embedding").orderBy("vec_id")
+    few = vectors.where("vec_id is not null").withColumn("_place", F.dense_rank().over(alike)).where(f"_place <= {top + 1}")
+    again = Window.partitionBy("embedding", "vec_id").orderBy("_place")
+    return few.withColumn("_turn", F.row_number().over(again)).where(f"_turn <= {top}").select("vec_id", "embedding")
 
 
 def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
@@ -228,12 +230,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, router: Route
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     queries = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     router = router or fit(vectors)
     result = "query_id long, vec_id long, score double"
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    salts = max(1, round(vectors.count() / (router.parts * BLOCK)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +245,13 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, router: Route
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
 
-    blocks = index(vectors, router, salts).join(route(queries, router, salts), ["part", "salt"])
-    found = blocks.select("query_ids", "query_vecs", "ids", "vecs").mapInArrow(run, result)
+    own = cut(blocks(candidates(vectors, top), router, 1))
+    sizes = F.broadcast(own.groupBy("part").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")))  # a row a partition
+    dealt = own.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int"))
+    asked = blocks(queries, router, router.probes).join(sizes, "part")
+    asked = asked.select(
+        "part", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    )
+    found = dealt.join(asked, ["part", "salt"]).select("query_ids", "query_vecs", "ids", "vecs").mapInArrow(run, result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(f"rank <= {top}").select("query_id", "rank", "vec_id", "score")
