@@ -324,3 +324,89 @@ def test_neighbours_recall(spark):
     want = np.argsort(-near, axis=1)[:, :5]
     hits = sum(len(set(w) & set(got[got.query_id == 50 * i].vec_id)) for i, w in enumerate(want))
     assert hits >= 0.9 * 300
+
+
+def test_neighbours_prune_clusters_and_keep_their_recall(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((400, 32))
+    x = (centre[rng.integers(0, 400, 12000)] + 0.25 * rng.standard_normal((12000, 32))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    router = ann.fit(df)
+    assert router.probes <= router.parts / 2  # the share of the table that a query is compared with
+    got = ann.search(df, df.where("vec_id % 50 = 0"), router=router).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(240), np.arange(0, 12000, 50)] = -2
+    want = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(len(set(w) & set(got[got.query_id == 50 * i].vec_id)) for i, w in enumerate(want))
+    assert hits >= 0.9 * 1200 and len(got) == 1200
+
+
+def test_neighbours_copies_scales_and_other_columns(spark):
+    rows = [(i, [1.0, 2.0, 3.0], "a") for i in range(300)] + [(0, [1.0, 2.0, 3.0], "again")] * 7
+    rows += [(400, [2.0**600, 2.0**601, 3 * 2.0**600], "b"), (401, [2.0**-600, 2.0**-599, 3 * 2.0**-600], "c"), (50, [9.0, 0.0, 0.0], "second vector")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, _place string")
+    got = ann.search(df, df.where("vec_id in (0, 50, 400)"))
+    by = {q: [r["vec_id"] for r in sorted(got.where(f"query_id = {q}").collect(), key=lambda r: r["rank"])] for q in (0, 50, 400)}
+    assert by == {0: [1, 2, 3, 4, 5], 50: [0, 0, 0, 0, 0], 400: [0, 0, 0, 0, 0]}
+    assert all(abs(r["score"] - 1) < 1e-12 for r in got.collect())
+
+
+def test_chat_edges(spark):
+    kind = "array<struct<turn:long,role:string,text:string>>"
+    pairs = spark.createDataFrame(
+        [(1, [], 2, [(0, "user", "hi")]), (3, [(0, "user", "hi")], 4, []), (5, [], 6, []), (7, [(0, "assistant", "a" * 200_000)], None, None)],
+        f"chosen_id long, chosen {kind}, rejected_id long, rejected {kind}",
+    )
+    got = {r["chosen_id"]: r for r in chat.format_preferences(pairs).collect()}
+    assert all(r["n_common"] == 0 and r["prompt"] == "" for r in got.values())
+    assert got[1]["chosen"] == "" and got[3]["rejected"] == "" and got[7]["rejected"] is None and len(got[7]["chosen"]) > 200_000
+    convs = pairs.select(pairs.chosen_id.alias("conv_id"), pairs.chosen.alias("turns"))
+    assert chat.format_preferences(chat.pair_neighbours(convs)).count() == 2
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, chosen string")
+    assert chat.format_preferences(chat.pair_neighbours(chat.conversations(none))).count() == 0
+    clash = spark.createDataFrame([(1, 0, "user", "hi", "x", 9), (1, 1, "assistant", "yo", "x", 9)], "conv_id long, turn long, role string, text string, chosen string, _block int")
+    assert chat.format_preferences(chat.pair_neighbours(chat.conversations(clash))).first()["n_common"] == 0
+
+
+def test_warc_dates_columns_and_large_payloads(spark, tmp_path):
+    import datetime
+
+    rows = [(1, "u", "x" * 3_000_000, "d"), (2, "u", "x" * 3_000_000, "e"), (3, "v", "short", "f")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        warc.write_archives(df, str(tmp_path / "w"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    now, seen = datetime.datetime.now(datetime.timezone.utc), 0
+    for p in (tmp_path / "w").glob("*.gz"):
+        with gzip.open(p) as archive:
+            for fields, _ in warc.records(archive):
+                date = datetime.datetime.strptime(fields["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=datetime.timezone.utc)
+                assert abs((now - date).total_seconds()) < 600
+                seen += 1
+    assert seen == 3
+    got = {r["page_id"]: r for r in warc.archive(df).collect()}
+    assert got[2]["refers_to"] == 1 and got[1]["payload_bytes"] == 3_000_000
+
+
+def test_simhash_edges(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (2, "a b c", "z"), (None, "a b c", "n"), (3, None, "q"), (4, "", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["_row"]) for r in kept.collect()))
+    assert [(a, b) for a, b, _ in got] == [(False, 1), (False, 3), (True, 0)] and got[0][2] in "xy" and got[2][2] == "n"
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()} == {(1, 1), (2, 1), (None, 1), (3, 3), (4, 3)}
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.drop_near_duplicates(df.limit(0)).count()
+
+
+def test_suffix_edges(spark):
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(70_000))
+    rows = [(1, long, "p"), (2, long[100:400], "p"), (2, long[100:400], "p"), (None, long[:90], "p"), (7, "z" * 9_000, "p"), (8, "z" * 100, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, payload string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in suffix.measure(df).collect())
+    assert got == [(False, 1, 0), (False, 2, 300), (False, 2, 300), (False, 7, 0), (False, 8, 100), (True, 0, 90)]
+    assert suffix.drop_repeats(df).columns == df.columns
+    assert suffix.measure(df.limit(0)).count() == 0
