@@ -1,19 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause: insults and threats emit weight, targets, negations and reported
-speech change what emitted weight counts for. Their product is built once, as a table of (state, tag) -> (state, kind of
-weight), and every clause that holds an insult or threat word runs through it. So what is scored is the clause: the same
-word counts apart when it is plain, negated, reported, or aimed at somebody. Clauses without an insult or threat word
-cannot emit and are passed over.
+Small transducers read the words of a clause. Insults emit weight where they stand; a threat emits it when the target it
+is aimed at follows within ``OBJECT`` words and an intent came before. Negations reach ``REACH`` words on. A report holds
+for what follows it, colons and quotation marks included, and a report tag after a comma or a closing quotation mark
+("..., he said") holds for what came before. An insult word that also has a plain use counts in full only within
+``NEAR`` words after a target. The product of these transducers is built once, as a table of (state, tag) -> (state, kind
+of weight), and every clause that holds an insult or threat word runs through it. So what is scored is the clause: the
+same word counts apart when it is plain, negated, reported, or aimed at somebody. Clauses without an insult or threat word
+cannot emit and are passed over. Typographic apostrophes and quotation marks are read as plain ones, contractions as the
+words they stand for.
 
 Which words insult or threaten comes from two places: fixed word classes below, and labelled documents, from which words
 and word beginnings (``STEMS`` letters) are taken whose documents are toxic by a wide margin. A word's weight is the log
 odds of that share. A logistic layer then weighs the kinds of emitted weight; it is fitted on the same bounded sample of
 ``SAMPLE`` labelled rows, those of least hash, and held near its prior where the sample says nothing.
 
-Defined cases: a null or empty text has the score of a text without any match, below 0.5; no labels or one class only
-leaves the fixed classes with prior weights; a doc_id with several labels is toxic if any says so; repeated rows keep
-their rows; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has the score of a text without any match, below 0.5; very long texts are read whole,
+clause by clause; no labels or one class only leaves the fixed classes with prior weights; a doc_id with several labels
+is toxic if any says so; repeated rows keep their rows; an empty table gives an empty result; other columns are ignored
+by ``rate`` and pass through ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -28,36 +33,55 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .langid import held_out
 
-#: Labelled rows that words and weights are learned from, and learned words at most.
+#: Labelled rows that words and weights are learned from.
 SAMPLE = 20_000
-LEXICON = 20_000
 STEMS = (4, 5, 6)
 #: Share of toxic documents (after smoothing) from which a word or beginning counts, and least such documents.
 SHARE, LEAST, SMOOTH = 0.7, 3, 3.0
 
-INSULT = "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb fool idiota estúpido imbécil idiote stupide imbécile dumm blöd dummkopf".split()
+INSULT = "idiot idiots moron morons stupid loser losers pathetic worthless disgusting idiota estúpido imbécil idiote stupide imbécile dumm blöd dummkopf".split()
+#: Insult words that also have a plain use.
+PLAIN = "trash clown dumb fool scum".split()
 THREAT = "kill hurt destroy beat stab shoot burn matar golpear tuer frapper töten schlagen".split()
 INTENT = "will gonna shall going werde wirst vais voy".split()
 TARGET = "you your you're u they them he she him her du dich dir ihr sie tu te ti toi vous tú usted ustedes él ella".split()
-NEGATION = "not no never n't isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais nunca jamás".split()
+NEGATION = "not no never cannot nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTED = "said says wrote writes called calls claims reported quoted according sagte sagt schrieb dit disait écrit dijo dice escribió según selon laut".split()
 
-TAGS = ("other", "insult", "threat", "intent", "target", "negation", "report")
-KINDS = ("insult", "insult negated", "insult reported", "threat", "threat negated or reported", "aimed")
-PRIOR = np.array([1.0, 0.1, 0.4, 0.8, 0.1, 0.5])
+TAGS = ("other", "insult", "plain insult", "threat", "intent", "target", "negation", "report", "break")
+KINDS = ("insult", "insult negated", "insult reported", "threat", "threat negated or reported", "aimed", "plain use")
+PRIOR = np.array([1.0, 0.1, 0.4, 0.8, 0.1, 0.5, 0.1])
 BIAS = -2.5
-#: Words that a negation reaches.
-REACH = 3
-
-_WORD = regex.compile(r"[\p{L}']+")
-_CLAUSE = regex.compile(r"[^.!?;:\n]+")
+#: Words that a negation reaches, within which a threat's target follows, a target comes before, and a late report ends.
+REACH, OBJECT, NEAR, LATE = 3, 2, 3, 4
+WEIGHT = 2.0
+
+_WORD = regex.compile(r"\p{L}+(?:'\p{L}+)*")
+_TOKEN = regex.compile(r"\p{L}+(?:'\p{L}+)*|[,\"]")
+_CLAUSE = regex.compile(r"[^.!?;\n]+")
+_MARKS = str.maketrans("’‘ʼ´`“”„«»‹›", 5 * "'" + 7 * '"')
+_ENDINGS = {"ll": "will", "re": "", "ve": "", "d": "", "m": "", "s": ""}
+
+
+def _words(text: str) -> list[str]:
+    """Words and breaks of a clause, with contractions as the words they stand for."""
+    out = []
+    for word in _TOKEN.findall(text):
+        head, _, tail = word.rpartition("'")
+        if word.endswith("n't"):
+            out += [word[:-3], "not"] if word[:-3] else ["not"]
+        elif head and tail in _ENDINGS:
+            out += [head, _ENDINGS[tail]] if _ENDINGS[tail] else [head]
+        else:
+            out.append(word)
+    return out
 
 
 def _negation(state: int, tag: str) -> int:
-    return REACH if tag == "negation" else max(0, state - 1)
+    return REACH if tag == "negation" else state if tag == "break" else max(0, state - 1)
 
 
 def _report(state: int, tag: str) -> int:
@@ -72,30 +96,57 @@ def _target(state: int, tag: str) -> int:
     return 1 if tag == "target" else state
 
 
+def _near(state: int, tag: str) -> int:
+    """Words that are left of the reach of the last target."""
+    return NEAR if tag == "target" else state if tag == "break" else max(0, state - 1)
+
+
+def _late(state: int, tag: str) -> int:
+    """0: no break yet, or too long ago; up to LATE: words since the last one; LATE + 1: a report came soon after it."""
+    if tag == "break":
+        return 1
+    if state == 0 or state == LATE + 1:
+        return state
+    return LATE + 1 if tag == "report" else (state + 1) % (LATE + 1)
+
+
 def compose() -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-    """The product of the transducers: start state 0, next state and kind of emission (-1: none) by state and tag."""
-    parts = ((_negation, REACH + 1), (_report, 2), (_intent, 2), (_target, 2))
-    states = list(product(*(range(n) for _, n in parts)))
+    """The product of the transducers: start state 0, next state and kind of emission (-1: none) by state and tag.
+
+    The last component waits for a threat's target: words that are left, twice over for threats that do not count.
+    """
+    parts = ((_negation, REACH + 1), (_report, 2), (_intent, 2), (_target, 2), (_near, NEAR + 1), (_late, LATE + 2))
+    states = list(product(*(range(n) for _, n in parts), range(2 * OBJECT + 1)))
     number = {s: i for i, s in enumerate(states)}
     step, emit = [], []
     for state in states:
         nexts, kinds = [], []
+        negated, reported, intent, _, near, _, waits = state
         for tag in TAGS:
-            nexts.append(number[tuple(f(x, tag) for (f, _), x in zip(parts, state))])
-            negated, reported, intent, _ = state
-            kind = -1
-            if tag == "insult":
+            kind, then = -1, waits if tag == "break" or waits in (0, OBJECT) else waits - 1
+            if waits == OBJECT and tag != "break":
+                then = OBJECT - 1
+            if waits == OBJECT + 1 and tag != "break":
+                then = 0
+            if tag == "insult" or tag == "plain insult" and near:
                 kind = 1 if negated else 2 if reported else 0
+            elif tag == "plain insult":
+                kind = 6
             elif tag == "threat" and intent:
-                kind = 4 if negated or reported else 3
+                then = 2 * OBJECT if negated or reported else OBJECT
+            elif tag == "target" and waits:
+                kind, then = 3 if waits <= OBJECT else 4, 0
             kinds.append(kind)
+            nexts.append(number[(*(f(x, tag) for (f, _), x in zip(parts, state)), then)])
         step.append(nexts)
         emit.append(kinds)
     return np.array(states), step, emit
 
 
 _STATES, _STEP, _EMIT = compose()
-_FIXED = {w: t for t, words in (("insult", INSULT), ("threat", THREAT), ("intent", INTENT), ("target", TARGET), ("negation", NEGATION), ("report", REPORTED)) for w in words}
+_FIXED = {w: t for t, words in (("insult", INSULT), ("plain insult", PLAIN), ("threat", THREAT), ("intent", INTENT), ("target", TARGET), ("negation", NEGATION), ("report", REPORTED)) for w in words}
+_EMITS = frozenset(TAGS.index(t) for t in ("insult", "plain insult", "threat"))
+_TARGET_TAG, _BREAK = TAGS.index("target"), (TAGS.index("break"), 0.0)
 
 
 class Grammar:
@@ -110,13 +161,15 @@ class Grammar:
         """(tag, weight) of a word: a learned word or beginning, else a fixed class."""
         found = self.tags.get(word)
         if found is None:
+            if word in (",", '"'):
+                return _BREAK
             weight = max([self.learned.get(word, 0.0), *(self.learned.get(word[:n] + "*", 0.0) for n in STEMS if len(word) >= n)])
             fixed = _FIXED.get(word, "other")
-            if weight > 0 and fixed in ("other", "insult"):
+            if weight > 0 and fixed in ("other", "insult", "plain insult"):
                 found = TAGS.index("insult"), weight
             else:
-                found = TAGS.index(fixed), 2.0 if fixed in ("insult", "threat") else 0.0
-            if len(self.tags) > 400_000:
+                found = TAGS.index(fixed), WEIGHT if fixed in ("insult", "plain insult", "target") else 0.0
+            if len(self.tags) > 200_000:
                 self.tags.clear()
             self.tags[word] = found
         return found
@@ -124,23 +177,26 @@ class Grammar:
     def features(self, text: str | None) -> np.ndarray:
         """Emitted weight by kind, over all clauses of the text."""
         out = np.zeros(len(KINDS))
-        lower = (text or "").lower()
+        lower = (text or "").lower().translate(_MARKS)
         tags = self.tags
-        emitting = [w for w in set(_WORD.findall(lower)) if (tags.get(w) or self.tag(w))[0] in (1, 2)]
+        emitting = [w for w in set(_WORD.findall(lower)) if (tags.get(w) or self.tag(w))[0] in _EMITS or "'" in w and any(self.tag(x)[0] in _EMITS for x in _words(w))]
         if not emitting:
             return out
         for clause in _CLAUSE.findall(lower):
             if not any(w in clause for w in emitting):
                 continue
             state, gained = 0, np.zeros(len(KINDS))
-            for word in _WORD.findall(clause):
+            for word in _words(clause):
                 tag, weight = self.tag(word)
                 kind = _EMIT[state][tag]
                 if kind >= 0:
                     gained[kind] += weight
                 state = _STEP[state][tag]
+            if _STATES[state][5] == LATE + 1:  # a late report covers what came before it
+                gained[2], gained[4] = gained[2] + gained[0], gained[4] + gained[3]
+                gained[0] = gained[3] = 0.0
             if _STATES[state][3]:
-                gained[5] = gained[:5].sum()
+                gained[5] = gained[0] + gained[3]
             out += gained
         return np.log1p(out)
 
@@ -181,7 +237,7 @@ def _telling(rows: DataFrame, base: float, known: frozenset[str]) -> dict[str, f
     """
 
     def features(text: str) -> set[str]:
-        own = set(_WORD.findall(text.lower()))
+        own = set(_WORD.findall(text.lower().translate(_MARKS)))
         return own if not known else {w[:n] + "*" for w in own - known for n in STEMS if len(w) >= n}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +254,14 @@ def _telling(rows: DataFrame, base: float, known: frozenset[str]) -> dict[str, f
         rows.mapInArrow(run, "word string, bad long, good long")
         .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where(F.col("bad") >= LEAST).withColumn("share", share).where(F.col("share") >= SHARE)
-        .orderBy(F.desc("share"), "word").limit(LEXICON).select("word", "share").collect()
+        .select("word", "share").collect()  # bounded by the words of the sample
     )
     return {r["word"]: float(np.log(r["share"] / (1 - r["share"])) + 2.0) for r in chosen}
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Word classes and weights from labelled documents outside the fold crc32(doc_id) mod 5 = 0."""
+    small_batches(docs.sparkSession)
     rows = cut(_learning(docs, labels, sample))
 
     by_class = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}

@@ -410,3 +410,23 @@ def test_suffix_edges(spark):
     assert got == [(False, 1, 0), (False, 2, 300), (False, 2, 300), (False, 7, 0), (False, 8, 100), (True, 0, 90)]
     assert suffix.drop_repeats(df).columns == df.columns
     assert suffix.measure(df.limit(0)).count() == 0
+
+
+def test_toxicity_clauses():
+    score = toxicity.Grammar({}).score
+    plain, none = score("You are an idiot."), score(None)
+    for text in ("He said: you are an idiot.", "You are an idiot, he said.", "“You are an idiot,” she wrote.", "You aren't an idiot.", "You aren’t an idiot."):
+        assert none < score(text) < plain / 2
+    assert score("You are an 'idiot'.") == plain == score("YOU ARE AN IDIOT!")
+    assert score("I'll kill you.") == score("I’ll kill you.") == score("I will kill you.") > 2 * score("I won't kill you.")
+    assert score("They will burn the trash and you can beat the eggs.") < 0.5 * score("You are trash.")
+    assert score("You kill time.") == none and score("word " * 50_000) == none < score("word " * 50_000 + "you idiot")
+
+
+def test_toxicity_rows(spark):
+    rows = [(1, "you idiot", "a"), (1, "you idiot", "a"), (None, "fine", "b"), (2, "fine", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxicity string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.rate(df, labels).collect()
+    assert len(got) == 4 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert toxicity.drop_toxic(df, labels).columns == df.columns
