@@ -4,16 +4,18 @@ Per language, a byte context tree of orders 0 to 3 holds how often each byte fol
 byte in a language is that of its longest known context: a byte seen there costs -log2 n(c, b) / (n(c) + t(c)), with t(c)
 the number of different bytes seen there; any other costs the escape -log2 t(c) / (n(c) + t(c)) and then its cost in the
 next shorter context, down to a uniform choice (method C, without exclusion). A text goes to the language with the
-shortest code under these frozen statistics, and the score is that language's share when lengths are per byte.
+shortest code under these frozen statistics.
 
 Counts are taken over all learning documents: each task counts the four-byte strings of its batch per language, and
-Spark sums them. The trees are then frozen in parts of ``TOGETHER`` languages: ``SYMBOLS`` - 1 most frequent bytes and one
-symbol for the rest, all contexts of two symbols, and every string of four symbols that was seen. What reaches the driver
-and the executors are the different strings, not the corpus.
+Spark sums them. The trees are then frozen in parts of ``TOGETHER`` languages, over all 256 bytes: contexts of up to one
+byte as a dense table, longer ones as the strings that were seen, each with its code length in every language of the part.
+What reaches the driver and the executors are the different strings, not the corpus; a text is costed part by part and
+``_STEP`` bytes at a time.
 
 Defined cases: ``und`` and score 0 for a null text, a text without any letter, or if nothing could be learned; ties go to
-the language first in order; rows with null lang teach nothing; repeated rows count each time; an empty table gives an
-empty result.
+the language first in order; rows with null lang teach nothing; repeated rows count each time; very long texts are costed
+whole; other columns are ignored; an empty table gives an empty result. The score is the share of the language's
+likelihood when code lengths are divided by the square root of the text's length in bytes.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_buffers
+from .common import cut, small_batches, text_buffers
 
-SYMBOLS = 96
 #: Languages whose code lengths stand beside each other in one table.
 TOGETHER = 16
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PIECE = 4_000_000
+_STEP = 500_000
 
 
 def _pieces(batch: pa.RecordBatch, size: int = _PIECE) -> Iterator[pa.RecordBatch]:
@@ -85,55 +87,81 @@ def count_strings(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Index:
+    """Finds the places of integers in a list of different ones, by open addressing."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        self.bits = max(4, int(4 * max(1, len(codes)) - 1).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(codes), dtype=np.int32), self._slot(codes)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # one of those that want a slot gets it
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        if not len(self.codes):
+            return np.full(len(wanted), -1, np.int32)
+        slot = self._slot(wanted)
+        out = self.table[slot]
+        left = np.flatnonzero((out >= 0) & (self.codes[out] != wanted))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.table[slot[left]]
+            left = left[(out[left] >= 0) & (self.codes[out[left]] != wanted[left])]
+        return out
+
+
 class Part:
-    """Frozen code lengths of some languages: dense up to order 2, and the strings of order 3 that one of them has seen."""
+    """Frozen code lengths of some languages: dense up to order 1, and the strings of orders 2 and 3 that one has seen."""
 
-    def __init__(self, k: int, symbol: np.ndarray, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, k: int, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """counts: by string length 1 to 4, the language's number, the string, and its count."""
-        s = SYMBOLS
-        rest = np.log2(256 - (s - 1))
-        cost = np.full((k, s), 8.0)
-        cost[:, s - 1] = 8.0 - rest  # the class as a whole; each byte of it then costs ``rest`` more
-        for order in range(3):
+        cost = np.full((k, 1, 256), 8.0)
+        for order in range(2):
             lang, gram, n = counts[order + 1]
-            code, weight = np.zeros(len(gram), np.int64), n.astype(float)
-            for place in range(order, -1, -1):
-                code = code * s + symbol[(gram >> (8 * place)) & 255]
-            seen = np.bincount(lang * s ** (order + 1) + code, weight, k * s ** (order + 1)).reshape(k, s**order, s)
-            below = cost.reshape(k, -1, s) if order else cost[:, None, :]
-            cost = self._escape(seen, np.tile(below, (1, s, 1)) if order else below)
-        lang, gram, n = counts[4]
-        code = np.zeros(len(gram), np.int64)
-        for place in (3, 2, 1, 0):
-            code = code * s + symbol[(gram >> (8 * place)) & 255]
-        self.cells, cell = np.unique(code, return_inverse=True)
-        seen = np.bincount(cell * k + lang, n.astype(float), len(self.cells) * k).reshape(-1, k)
-        contexts, first, where = np.unique(self.cells // s, return_index=True, return_inverse=True)
-        self.row = np.zeros(s**3, np.int32)
-        self.row[contexts] = np.arange(1, len(contexts) + 1)
-        total, kinds = (
-            np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, k)) for x in (seen, (seen > 0).astype(float))
-        )
-        with np.errstate(divide="ignore", invalid="ignore"):
-            size = np.log2(total + kinds)
-            leave = np.where(total > 0, size - np.log2(kinds), 0.0)
-            below = cost[:, self.cells // s % (s * s), self.cells % s].T
-            longest = np.where(seen > 0, size[where] - np.log2(seen), leave[where] + below)
-        longest[self.cells % s == s - 1] += rest
-        cost[:, :, s - 1] += rest
-        self.longest = longest.astype(np.float32)
-        self.leave = np.concatenate([np.zeros((1, k)), leave]).astype(np.float32)
-        self.base = np.ascontiguousarray(cost.astype(np.float32).transpose(1, 2, 0).reshape(-1, k))
-
-    def cost(self, context: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The code length of each symbol after its context of three, per language."""
-        s = SYMBOLS
-        out = self.base[context % (s * s) * s + last] + self.leave[self.row[context]]
-        if len(self.cells):
-            code = context.astype(np.int64) * s + last
-            at = np.minimum(np.searchsorted(self.cells, code), len(self.cells) - 1)
-            hit = np.flatnonzero(self.cells[at] == code)
-            out[hit] = self.longest[at[hit]]
+            seen = np.bincount((lang << 8 * (order + 1)) + gram, n.astype(float), k << 8 * (order + 1)).reshape(k, 1 << 8 * order, 256)
+            cost = self._escape(seen, cost.reshape(k, 1, 256))
+        self.base = np.ascontiguousarray(cost.reshape(k, -1).T.astype(np.float32))
+        self.orders = []
+        for order in (2, 3):
+            lang, gram, n = counts[order + 1]
+            cells, cell = np.unique(gram, return_inverse=True)
+            seen = np.bincount(cell * k + lang, n.astype(float), len(cells) * k).reshape(-1, k)
+            contexts, first, where = np.unique(cells >> 8, return_index=True, return_inverse=True)
+            total, kinds = (
+                np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, k)) for x in (seen, (seen > 0).astype(float))
+            )
+            with np.errstate(divide="ignore", invalid="ignore"):
+                size = np.log2(total + kinds)
+                leave = np.where(total > 0, size - np.log2(kinds), 0.0)
+                longest = np.where(seen > 0, size[where] - np.log2(seen), leave[where] + self.cost(cells & ((1 << 8 * order) - 1), order - 1))
+            leave = np.concatenate([leave, np.zeros((1, k))]).astype(np.float32)  # the last row is for contexts not seen
+            self.orders.append((Index(cells), longest.astype(np.float32), Index(contexts), leave))
+
+    @property
+    def cells(self) -> np.ndarray:
+        """The strings of order 3 that one of the languages has seen."""
+        return self.orders[-1][0].codes
+
+    def cost(self, code: np.ndarray, order: int = 3) -> np.ndarray:
+        """The code length of the last byte of each string of ``order`` + 1 bytes, per language."""
+        if order < 2:
+            return self.base[code]
+        cells, longest, contexts, leave = self.orders[order - 2]
+        at = cells.find(code)
+        miss = np.flatnonzero(at < 0)
+        out = longest[at] if len(longest) else np.zeros((len(code), self.base.shape[1]), np.float32)
+        if len(miss):
+            rest = code[miss]
+            out[miss] = leave[contexts.find(rest >> 8)] + self.cost(rest & ((1 << 8 * order) - 1), order - 1)
         return out
 
     @staticmethod
@@ -148,33 +176,29 @@ class Part:
 class Model:
     """Frozen code lengths of all languages, in parts of ``TOGETHER`` languages."""
 
-    def __init__(self, langs: list[str], symbol: np.ndarray, parts: list[Part]) -> None:
-        self.langs, self.symbol, self.parts = langs, symbol, parts
+    def __init__(self, langs: list[str], parts: list[Part]) -> None:
+        self.langs, self.parts = langs, parts
 
     def bits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Code length of each text in each language, and the texts' lengths in bytes."""
         data, starts = _framed(column)
+        n = len(starts)
         size = np.diff(np.append(starts, len(data) + 3)) - 3
-        out = np.zeros((len(starts), len(self.langs)))
-        if not len(data):
-            return out, size
-        sym = self.symbol[data]
-        wide = sym.astype(np.int32)
-        context = (wide[:-3] * SYMBOLS + wide[1:-2]) * SYMBOLS + wide[2:-1]
-        full = np.flatnonzero(size)
-        if len(full):
-            # a text's costs stand from its start less three; the frame of the next text follows and is left out
-            edges = np.stack([starts[full] - 3, starts[full] - 3 + size[full]], 1).ravel()
-            last = edges[-1] == len(context)
+        out = np.zeros((n + 1, len(self.langs)))  # the last row gathers the frame
+        owner = np.repeat(np.stack([np.full(n, n), np.arange(n)], 1).ravel(), np.stack([np.full(n, 3), size], 1).ravel())[3:]
+        for a in range(0, len(owner), _STEP):
+            d, own = data[a : a + _STEP + 3].astype(np.int64), owner[a : a + _STEP]
+            code = d[:-3] << 24 | d[1:-2] << 16 | d[2:-1] << 8 | d[3:]
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             for i, part in enumerate(self.parts):
-                cost = part.cost(context, wide[3:])
-                sums = np.add.reduceat(cost, edges[:-1] if last else edges, axis=0, dtype=np.float64)
-                out[full, i * TOGETHER : (i + 1) * TOGETHER] = sums[::2]
-        return out, size
+                sums = np.add.reduceat(part.cost(code), heads, axis=0, dtype=np.float64)
+                np.add.at(out[:, i * TOGETHER : (i + 1) * TOGETHER], own[heads], sums)
+        return out[:n], size
 
 
 def learn(docs: DataFrame) -> Model | None:
     """Fit on all rows of (text, lang); null if there is none."""
+    small_batches(docs.sparkSession)
     grams = cut(count_strings(docs))
     langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
     if not langs:
@@ -184,10 +208,6 @@ def learn(docs: DataFrame) -> Model | None:
         own = grams.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("gram"), "n")
         return own.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    bytes_seen = strings(1).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    total = np.bincount(bytes_seen.column("gram").to_numpy(), bytes_seen.column("n").to_numpy(), 256)
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[np.argsort(-total, kind="stable")[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
     parts = []
     for at in range(0, len(langs), TOGETHER):
         some = langs[at : at + TOGETHER]
@@ -196,8 +216,8 @@ def learn(docs: DataFrame) -> Model | None:
             got = strings(size).where(F.col("lang").isin(some)).toArrow()
             code = pc.index_in(got.column("lang"), place).to_numpy().astype(np.int64)
             counts[size] = code, got.column("gram").to_numpy(), got.column("n").to_numpy()
-        parts.append(Part(len(some), symbol, counts))
-    return Model(langs, symbol, parts)
+        parts.append(Part(len(some), counts))
+    return Model(langs, parts)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
