@@ -67,7 +67,7 @@ def best_trial(points: DataFrame, attempts: DataFrame, trials: int, least: int,
 
 
 def grid_counts(points: DataFrame, size: Sequence[float], shape: Sequence[float]) -> DataFrame:
-    """(gx, gy, gz, n), n > 0: streamlines per cell of a grid, each axis tested by itself, fullest first.
+    """(gx, gy, gz, n), n > 0: streamlines per cell of a grid, each axis tested by itself; ``drawing.fullest_first`` ranks them.
 
     A streamline counts for the product of the cells it touches on each axis, which are its own distinct cells, so the
     cells are collected per streamline (a bounded number) and exploded, without a join.

@@ -101,8 +101,9 @@ def metrics(points: DataFrame) -> DataFrame:
 
 def adaptive_step(points: DataFrame, step: float, low: float = 0.15, high: float = 0.35, bend: float = 0.05) -> DataFrame:
     """The step that densification uses: the median segment within bounds, where mean curvature is above ``bend``."""
-    own = segments(points).where("nx is not null").groupBy("streamline_id").agg(F.median("d").alias("median_d"))
-    best = F.least(F.greatest(F.col("median_d"), F.lit(low)), F.lit(high))
+    own = segments(points).groupBy("streamline_id").agg(F.median(F.when(F.col("nx").isNotNull(), F.col("d"))).alias("median_d"))
+    # a single point has no segment: the middle of the bounds
+    best = F.when(F.col("median_d").isNull(), F.lit((low + high) / 2)).otherwise(F.least(F.greatest(F.col("median_d"), F.lit(low)), F.lit(high)))
     joined = own.join(curvature(points), "streamline_id", "left")
     return joined.select(
         "streamline_id",
@@ -198,12 +199,20 @@ def slab_rule(points: DataFrame, center: float, half: float, short: int = 5) ->
     return kept.unionByName(slab_clip(counted.where(F.col("n") > short).drop("n"), center, half))
 
 
-def bounds_keep(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
-    """Streamlines with, on each axis by itself, a point at or above ``low`` and one below ``high``."""
-    tests = [F.max(F.col(a) >= lo) & F.max(F.col(a) < hi) for a, lo, hi in zip(AXES, low, high)]
+def bounds_keep(points: DataFrame, low: Sequence[float], high: Sequence[float], inclusive: bool = False) -> DataFrame:
+    """Streamlines with, on each axis by itself, a point at or above ``low`` and one below (``inclusive``: or at) ``high``."""
+    tests = [F.max(F.col(a) >= lo) & F.max(F.col(a) <= hi if inclusive else F.col(a) < hi) for a, lo, hi in zip(AXES, low, high)]
     return points.groupBy("streamline_id").agg((tests[0] & tests[1] & tests[2]).alias("keep")).where("keep").select("streamline_id")
 
 
+def transform_and_densify(points: DataFrame, matrix: Sequence[Sequence[float]], shape: Sequence[float], step: float, method: str = "linear") -> DataFrame:
+    """World points to voxels, without points that are not finite or lie outside, joined to lines of two or more, densified."""
+    voxel = to_voxel(points, matrix)
+    for a in AXES:
+        voxel = voxel.where(F.col(a).isNotNull() & (F.abs(a) < float("inf")))  # NaN compares above infinity
+    return densify(clip_joined(voxel, shape).withColumnRenamed("pos", "point_idx"), step, method)
+
+
 def densify(points: DataFrame, step: float, method: str = "linear", count: str = "ceil") -> DataFrame:
     """Points at equal arc lengths; methods linear, hermite, catmull. A streamline shorter than ``step`` is unchanged.
 

@@ -612,13 +612,19 @@ def noise_multiplicative(x: DataFrame) -> DataFrame:
     return images.noise_multiplicative(x, IMG, 0.2)
 
 
-def gauss_sql(sigma: float) -> str:
-    rows = ", ".join(f"({k - len(w) // 2}, {x!r})" for w in [images.gaussian_weights(sigma)] for k, x in enumerate(w))
+def _blur_sql(sigma: float, across: str, along: str) -> str:
+    own = f"over (partition by image_id, {across} order by {along})"
+    every = f"over (partition by image_id, {across} order by {along} rows between unbounded preceding and unbounded following)"
+    w = images.gaussian_weights(sigma)
+    near = lambda k: "v" if k == 0 else f"coalesce(lag(v, {-k}) {own}, first_value(v) {every})" if k < 0 else f"coalesce(lead(v, {k}) {own}, last_value(v) {every})"
+    return "0.0 + " + " + ".join(f"{near(k - len(w) // 2)} * {x!r}" for k, x in enumerate(w))
+
+
+def gauss_sql(sigma: float, src: str = "pixels") -> str:
     return f""",
-w(o, w) as (values {rows}),
-g1 as (select p.image_id, p.r, p.c, sum(q.v * w.w) as v from pixels p, w, pixels q where q.image_id = p.image_id and q.c = p.c and q.r = least(greatest(p.r + w.o, 0), 7) group by 1, 2, 3),
-g2 as (select p.image_id, p.r, p.c, sum(q.v * w.w) as b from g1 p, w, g1 q where q.image_id = p.image_id and q.r = p.r and q.c = least(greatest(p.c + w.o, 0), 7) group by 1, 2, 3),
-g as (select *, min(v) over (partition by image_id) as lo, max(v) over (partition by image_id) as hi from pixels join g2 using (image_id, r, c))"""
+g1 as (select image_id, r, c, {_blur_sql(sigma, 'c', 'r')} as v from {src}),
+g2 as (select image_id, r, c, {_blur_sql(sigma, 'r', 'c')} as b from g1),
+g as (select *, min(v) over (partition by image_id) as lo, max(v) over (partition by image_id) as hi from {src} join g2 using (image_id, r, c))"""
 
 
 @query(pixels, image_sql("b", "g", gauss_sql(0.8)))
@@ -748,3 +754,7 @@ def injection_walks(x: DataFrame) -> DataFrame:
 @query(pixels)
 def brain_mask(x: DataFrame) -> DataFrame:
     return images.otsu_mask(x)
+
+
+# queries in modules of their own, which register themselves here
+from loomspan.plans import further  # noqa: E402, F401

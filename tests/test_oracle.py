@@ -8,7 +8,7 @@ import pytest
 from loomspan.plans.catalogue import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "events lineitem embeddings".split()
+TABLES = "events lineitem embeddings part".split()
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 
