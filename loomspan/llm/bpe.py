@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Entries of a worker's memory of pieces, and the longest piece that is kept there.
-MEMORY = 600_000
+MEMORY = 200_000
 LONGEST_KEPT = 64
 #: From this width, or below this many pieces of a width, a piece gets a tree of its own.
 WIDE = 4096
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
 
     Ranks go to the executors as one broadcast variable of vocabulary size.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast((load_ranks(spark, ranks_path), pattern))
     base = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in base.select(*keep).dtypes)
@@ -278,7 +280,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text; digests are made beside the encoder."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast((load_ranks(spark, ranks_path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,15 +89,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id), one of those that repeat it, and all rows without doc_id.
+#: Ids that a broadcast may hold (16 MB); longer lists are joined by a shuffle instead.
+BROADCAST_ROWS = 2_000_000
 
-    Texts move once: the join and the window share their key.
+
+def checked(ids: DataFrame) -> DataFrame:
+    """``ids``, written once, and marked for broadcast if few enough."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def drop_listed(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that name their own component (doc_id, component_id), and all rows without doc_id.
+
+    Of rows that repeat a doc_id one stays. Only ids are shuffled, and the texts of repeated doc_ids; texts otherwise
+    move only where the list of dropped ids is too long for a broadcast.
     """
+    every = components.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("own"), F.count("*").alias("n"))
+    every = cut(every.where("n > 1 or not own"))
+    dropped, again = checked(every.where("not own").select("doc_id")), checked(every.where("own").select("doc_id"))
+    kept = docs.join(dropped, "doc_id", "left_anti")
     row = free_name(docs, "_row")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi").withColumn(row, F.row_number().over(order))
-    return named.where(F.col(row) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = kept.join(again, "doc_id", "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, cut, fresh_table, keep_listed, shuffle_partitions, small_batches
+from .common import connected_components, cut, drop_listed, fresh_table, shuffle_partitions, small_batches
 from .simhash import _LOWER, SEED
 from .suffix import _batch, _open, _pack_sorted, _rows, _squeeze, _unpack_sorted
 
@@ -262,13 +262,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     ids = cut(nodes.select("key", "doc_id").join(ends, "key"))
-    # of rows that repeat a doc_id any may come; only the text with the set in question counts
-    known = _texts(docs, ids.select("doc_id")).join(ids, "doc_id").select("key", "body")
-    known = cut(known.mapInArrow(_own, "key long, body binary").dropDuplicates(["key"]))
+    # of rows that repeat a doc_id any may come; only texts with the set in question count, and equal ones count once
+    known = _texts(docs, ids.select("doc_id")).join(ids, "doc_id").groupBy("doc_id", "key", "body").agg(F.count("*").alias("n"))
+    known = cut(known.select("key", "body").mapInArrow(_own, "key long, body binary"))
     both = pairs.join(known.select(F.col("key").alias("u"), F.col("body").alias("a")), "u").join(
         known.select(F.col("key").alias("v"), F.col("body").alias("b")), "v"
     )
-    return both.select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long").distinct()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,13 @@ def components(docs: DataFrame) -> DataFrame:
     placed = cut(placed.join(mixed, "s"))
     x, y = (placed.select("s", F.struct("key", "n", "i", "h", "root").alias(c)) for c in "xy")
     rest = x.join(y, "s").where("x.root <> y.root and x.key > y.key").where(_possible("x", "y"))
-    rest = rest.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    # shared shingles up to the last shared place are counted; after it, prefixes share none, and the rest bounds the overlap
+    rest = rest.groupBy(F.col("x.key").alias("u"), F.col("y.key").alias("v")).agg(
+        F.count("*").alias("c"), *(f(f"{s}.{c}").alias(s + c) for s in "xy" for f, c in ((F.first, "n"), (F.max, "i")))
+    )
+    room = F.col("c") + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) - 1
+    rest = rest.where(room >= SIMILARITY / (1 + SIMILARITY) * (F.col("xn") + F.col("yn")) - 1e-6).select("u", "v")
+    rest = rest.join(stars, ["u", "v"], "left_anti")
     links = cut(links.unionByName(_verified(rest, nodes, docs)))
     roots = cut(connected_components(links))
     tied = nodes.join(roots, nodes.key == roots.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
@@ -328,4 +334,4 @@ def components(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of smallest doc_id of each group."""
-    return keep_listed(docs, components(docs).where("doc_id = component_id").select("doc_id"))
+    return drop_listed(docs, components(docs))
