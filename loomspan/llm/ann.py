@@ -38,6 +38,8 @@ SAMPLE = 8192
 PART_ROWS, LEAST_PARTS, MOST_PARTS = 1024, 16, 256
 GRAPH_K = 10
 BLOCK, TOGETHER = 1024, 8
+#: Rows that one task routes and packs, so that blocks fill however the input is dealt.
+PACKED_ROWS = 32_768
 TARGET = 0.97
 TOP = 5
 
@@ -181,14 +183,26 @@ def blocks(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
     """(part, ids, vecs): every row, packed, under its ``probes`` most probable partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = _vectors(batch, router.dim)
-            if len(x):
-                probed = router.order(_unit(x))[:, :probes]
-                rows = np.repeat(np.arange(len(x)), probed.shape[1])
-                yield _packed(np.stack([rows, probed.ravel()], 1), ids, x)
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*held))
+            probed = router.order(_unit(x))[:, :probes]
+            rows = np.repeat(np.arange(len(x)), probed.shape[1])
+            return _packed(np.stack([rows, probed.ravel()], 1), ids, x)
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "part int, ids binary, vecs binary")
+        for batch in batches:
+            held.append(_vectors(batch, router.dim))
+            size += len(held[-1][0])
+            if size >= PACKED_ROWS:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    vectors = cut(vectors.select("vec_id", "embedding"))
+    tasks = max(1, -(-vectors.count() // PACKED_ROWS))
+    return vectors.repartition(tasks).mapInArrow(run, "part int, ids binary, vecs binary")
 
 
 def candidates(vectors: DataFrame, top: int) -> DataFrame:
