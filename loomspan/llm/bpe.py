@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Entries of a worker's memory of pieces, and the longest piece that is kept there.
 MEMORY = 200_000
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
                 out += [pa.array([encoder.decode(x) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, [*keep, "ids", "n_tokens", "decoded"])
 
-    return base.mapInArrow(run, f"{schema}, ids binary, n_tokens long, decoded binary")
+    return base.mapInArrow(tidy(run), f"{schema}, ids binary, n_tokens long, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -297,7 +297,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

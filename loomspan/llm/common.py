@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +80,35 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive their tasks, and what they keep counts as the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a call of glibc; other libraries need none
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow`` or ``applyInArrow``, followed by ``give_back``: once a task, or once a group."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def stream(batches):
+            yield from run(batches)
+            give_back()
+
+        return stream
+
+    @functools.wraps(run)
+    def whole(table):
+        found = run(table)
+        give_back()
+        return found
+
+    return whole
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there: lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

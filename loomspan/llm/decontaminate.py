@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_buffers
+from .common import small_batches, text_buffers, tidy
 from .langid import _pieces
 
 SIMILARITY = 0.8
@@ -499,7 +499,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ["doc_id", "item_id", "edit_distance", "similarity"],
                     )
 
-        out = out.unionByName(base.mapInArrow(run, schema))
+        out = out.unionByName(base.mapInArrow(tidy(run), schema))
     return out.groupBy("doc_id", "item_id").agg(
         F.min("edit_distance").alias("edit_distance"), F.max("similarity").alias("similarity")
     )
@@ -518,5 +518,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     stay[[d for d, *_ in matches(_items(shared), batch.column("text"))]] = False
                     yield batch.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, cut, drop_listed, fresh_table, shuffle_partitions, small_batches
+from .common import connected_components, cut, drop_listed, fresh_table, shuffle_partitions, small_batches, tidy
 from .simhash import _LOWER, SEED
 from .suffix import _batch, _open, _pack_sorted, _rows, _squeeze, _unpack_sorted
 
@@ -89,7 +89,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield counted()
 
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long")
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "s long, n long")
     top = seen.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     s, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(s)
@@ -127,7 +127,7 @@ def _packs(docs: DataFrame) -> DataFrame:
             bid += 1
 
     spark, name = docs.sparkSession, fresh_table(docs.sparkSession, "packs")
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PACK_SCHEMA)
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), _PACK_SCHEMA)
     made.write.bucketBy(shuffle_partitions(spark), "bid").saveAsTable(name)
     return spark.table(name)
 
@@ -216,11 +216,11 @@ def held_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = cut(nodes.groupBy("bid").agg(F.collect_list("pos").alias("rows")))  # bounded by a pack
     ranges = max(shuffle_partitions(spark), int((nodes.agg(F.sum("n")).first()[0] or 0) * 1.6) // RANGE_BYTES)
     lists = packs.select("bid", "payload").join(rows, "bid").select("bid", "payload", "rows")
-    lists = lists.mapInArrow(_lists(ranges), "p int, bid long, found binary")
-    found = lists.groupBy("p").applyInArrow(_repeated(ranges), "bid long, found binary")
+    lists = lists.mapInArrow(tidy(_lists(ranges)), "p int, bid long, found binary")
+    found = lists.groupBy("p").applyInArrow(tidy(_repeated(ranges)), "bid long, found binary")
     found = found.groupBy("bid").agg(F.collect_list("found").alias("found")).join(rows, "bid")
     own = packs.select("bid", "key", "n", "payload").join(found, "bid").select("payload", "key", "n", "rows", "found")
-    return own.mapInArrow(_holders, "s long, key long, n int, i int, h int, m int")
+    return own.mapInArrow(tidy(_holders), "s long, key long, n int, i int, h int, m int")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             bodies = [squeeze((t.as_py() or "").encode()) for t in some.column("text")]
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(run, "doc_id long, body binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(tidy(run), "doc_id long, body binary")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +264,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(nodes.select("key", "doc_id").join(ends, "key"))
     # of rows that repeat a doc_id any may come; only texts with the set in question count, and equal ones count once
     known = _texts(docs, ids.select("doc_id")).join(ids, "doc_id").groupBy("doc_id", "key", "body").agg(F.count("*").alias("n"))
-    known = cut(known.select("key", "body").mapInArrow(_own, "key long, body binary"))
+    known = cut(known.select("key", "body").mapInArrow(tidy(_own), "key long, body binary"))
     both = pairs.join(known.select(F.col("key").alias("u"), F.col("body").alias("a")), "u").join(
         known.select(F.col("key").alias("v"), F.col("body").alias("b")), "v"
     )
-    return both.select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long").distinct()
+    return both.select("u", "v", "a", "b").mapInArrow(tidy(_similar), "u long, v long").distinct()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

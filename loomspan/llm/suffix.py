@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_table, shuffle_partitions, small_batches, text_buffers
+from .common import cut, fresh_table, shuffle_partitions, small_batches, text_buffers, tidy
 
 LENGTH, GRAM, PIECE = 50, 18, 80
 CHUNK_BYTES = 3_000_000
@@ -133,7 +133,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     spark = docs.sparkSession
     name = fresh_table(spark, "chunks")
     buckets = max(shuffle_partitions(spark), min(MOST_BUCKETS, size // BUCKET_BYTES))
-    packed = docs.mapInArrow(run, "bid long, payload binary")
+    packed = docs.mapInArrow(tidy(run), "bid long, payload binary")
     packed.write.bucketBy(buckets, "bid").option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
@@ -480,12 +480,12 @@ def covered(docs: DataFrame) -> DataFrame:
     packed = chunks(docs, size)
     blocks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
     bits = min(64, SPARE_BITS + int(size).bit_length())
-    lists = packed.mapInArrow(_anchor_lists(blocks, bits), "p int, bid long, anchors binary")
-    found = lists.groupBy("p").applyInArrow(_repeated(blocks), "bid long, found binary")
+    lists = packed.mapInArrow(tidy(_anchor_lists(blocks, bits)), "p int, bid long, anchors binary")
+    found = lists.groupBy("p").applyInArrow(tidy(_repeated(blocks)), "bid long, found binary")
     found = cut(found.groupBy("bid").agg(F.collect_list("found").alias("found")))
     strings = packed.join(found, "bid").select("bid", "payload", "found")
-    strings = strings.mapInArrow(_strings(blocks, bits), "q int, bid long, strings binary, covered binary")
-    ranges = strings.groupBy("q").applyInArrow(_covered, "bid long, covered binary")
+    strings = strings.mapInArrow(tidy(_strings(blocks, bits)), "q int, bid long, strings binary, covered binary")
+    ranges = strings.groupBy("q").applyInArrow(tidy(_covered), "bid long, covered binary")
     ranges = cut(ranges.groupBy("bid").agg(F.collect_list("covered").alias("covered")))
     return packed.join(ranges, "bid", "left").select("payload", "covered")
 
@@ -519,7 +519,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *made.columns], ["doc_id", *names])
 
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return covered(base).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return covered(base).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -538,4 +538,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 table = table.set_column(table.schema.get_field_index("text"), "text", fresh)
                 yield from table.combine_chunks().to_batches()
 
-    return covered(docs).mapInArrow(run, docs.schema)
+    return covered(docs).mapInArrow(tidy(run), docs.schema)

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 from .langid import held_out
 
 #: Labelled rows that words and weights are learned from.
@@ -251,7 +251,7 @@ def _telling(rows: DataFrame, base: float, known: frozenset[str]) -> dict[str, f
 
     share = (F.col("bad") + SMOOTH * base) / (F.col("bad") + F.col("good") + SMOOTH)
     chosen = (
-        rows.mapInArrow(run, "word string, bad long, good long")
+        rows.mapInArrow(tidy(run), "word string, bad long, good long")
         .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where(F.col("bad") >= LEAST).withColumn("share", share).where(F.col("share") >= SHARE)
         .select("word", "share").collect()  # bounded by the words of the sample
@@ -283,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
             )
 
     schema = ", ".join(["y double", *(f"x{i} double" for i in range(len(KINDS)))])
-    got = rows.mapInArrow(emitted, schema).toArrow()  # bounded: ``sample`` rows of a few numbers
+    got = rows.mapInArrow(tidy(emitted), schema).toArrow()  # bounded: ``sample`` rows of a few numbers
     table = np.column_stack([c.to_numpy() for c in got.columns]) if len(got) else np.zeros((0, 1 + len(KINDS)))
     if len(table):
         order = np.lexsort(table.T)
@@ -305,7 +305,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], name])
 
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return base.mapInArrow(run, "doc_id long, toxicity double")
+    return base.mapInArrow(tidy(run), "doc_id long, toxicity double")
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -332,4 +332,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column("text")
             yield batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
