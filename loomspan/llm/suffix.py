@@ -41,6 +41,8 @@ from .common import cut, fresh_table, shuffle_partitions, small_batches, text_bu
 
 LENGTH, GRAM, PIECE = 50, 18, 80
 CHUNK_BYTES = 3_000_000
+#: Bytes of a chunk whose anchors are sought at once; a longer document is one stretch.
+STRETCH_BYTES = 400_000
 #: Text a block stands for, and the parts in which a block is indexed one after the other.
 BLOCK_BYTES = 32_000_000
 #: Input that a bucket of chunks stands for, and as many buckets as Spark allows by default.
@@ -152,8 +154,20 @@ def _load(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]
 def anchor_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """(start, windows, anchor, document, mark) of each run of successive windows of one document with one anchor.
 
-    mark: 24 bits that tell different strings of one anchor apart, nearly always; used for counting only.
+    mark: 24 bits that tell different strings of one anchor apart, nearly always; used for counting only. Runs end with
+    their document, so documents are taken a stretch at a time: some twenty words of 8 bytes are held per byte of it.
     """
+    found, a = [], 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + STRETCH_BYTES, side="right")) - 1)
+        start, windows, anchor, doc, mark = _stretch_runs(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], bits)
+        found.append((start + bounds[a], windows, anchor, doc + a, mark))
+        a = b
+    return tuple(map(np.concatenate, zip(*found))) if found else _stretch_runs(data, bounds, bits)
+
+
+def _stretch_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """``anchor_runs`` of a few documents."""
     none = np.empty(0, np.int64)
     n = len(data) - LENGTH + 1
     if n <= 0:
