@@ -35,8 +35,10 @@ def dilate(mask: DataFrame, radius: int, shape: tuple[int, int]) -> DataFrame:
     return out.where((F.col("r") >= 0) & (F.col("r") < shape[0]) & (F.col("c") >= 0) & (F.col("c") < shape[1])).distinct()
 
 
-def components(pixels: DataFrame) -> DataFrame:
-    """(image_id, r, c, label): 8-neighbour components of the pixels of each image, numbered from 1 in row order.
+def components(pixels: DataFrame, diagonal: bool = True) -> DataFrame:
+    """(image_id, r, c, label): components of the pixels of each image, numbered from 1 in row order.
+
+    Pixels that touch at an edge are neighbours, and with ``diagonal`` those that touch at a corner.
 
     An image is one array; images are independent, so each is labelled by itself in one pass of unions.
     """
@@ -55,7 +57,7 @@ def components(pixels: DataFrame) -> DataFrame:
             return i
 
         for (y, x), i in at.items():
-            for near in ((y - 1, x - 1), (y - 1, x), (y - 1, x + 1), (y, x - 1)):
+            for near in ((y - 1, x), (y, x - 1), (y - 1, x - 1), (y - 1, x + 1))[: 4 if diagonal else 2]:
                 if (j := at.get(near)) is not None:
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)

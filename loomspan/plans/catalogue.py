@@ -757,4 +757,4 @@ def brain_mask(x: DataFrame) -> DataFrame:
 
 
 # queries in modules of their own, which register themselves here
-from loomspan.plans import further  # noqa: E402, F401
+from loomspan.plans import further, registered  # noqa: E402, F401
