@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import inspect
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -89,12 +90,21 @@ def give_back() -> None:
         trim(0)
 
 
+def only(module: str) -> None:
+    """Empty the tables that modules of other operators hold in this worker (``_held``), which now serves ``module``."""
+    for name, found in list(sys.modules.items()):
+        if name.startswith(f"{__package__}.") and name != module and (held := getattr(found, "_held", None)):
+            held[:] = [None] * len(held)
+
+
 def tidy(run: Callable) -> Callable:
-    """``run`` for ``mapInArrow`` or ``applyInArrow``, followed by ``give_back``: once a task, or once a group."""
+    """``run`` for ``mapInArrow`` or ``applyInArrow``, after ``only`` and followed by ``give_back``: once a task or group."""
+    module = run.__module__
     if inspect.isgeneratorfunction(run):
 
         @functools.wraps(run)
         def stream(batches):
+            only(module)
             yield from run(batches)
             give_back()
 
@@ -102,6 +112,7 @@ def tidy(run: Callable) -> Callable:
 
     @functools.wraps(run)
     def whole(table):
+        only(module)
         found = run(table)
         give_back()
         return found
