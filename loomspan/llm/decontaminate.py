@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +60,19 @@ _LOWER[65:91] += 32
 _R = 0x9E3779B97F4A7C15 | 1
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    back = pow(_R, -1, 1 << 64)
-    factors = [np.full(n + 1, r, np.uint64) for r in (_R, back)]
-    for f in factors:
-        f[0] = 1
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(f, dtype=np.uint64) for f in factors)
+_power: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of an odd base and of its inverse, modulo 2^64; the longest so far are kept."""
+    if len(_power[0]) <= n:
+        back = pow(_R, -1, 1 << 64)
+        factors = [np.full(n + 1, r, np.uint64) for r in (_R, back)]
+        for f in factors:
+            f[0] = 1
+        with np.errstate(over="ignore"):
+            _power[:] = [np.cumprod(f, dtype=np.uint64) for f in factors]
+    return _power
 
 
 def _mix(x: np.ndarray, by: int) -> np.ndarray:
@@ -120,21 +125,33 @@ def _plan(steps: int, turn: int) -> tuple[int, tuple[int, ...]]:
     return 1000 * steps + turn, (0, second, *map(int, later))
 
 
-def walk(code: np.ndarray, at: np.ndarray, steps: int, turn: int, sieve: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
-    """(start, key): keys of the sampled places for walks from ``at``; with ``sieve``, only of starts it lets through."""
+@lru_cache(maxsize=64)
+def _coins(steps: int, turn: int) -> np.uint64:
+    """An odd factor: bits of its product with a word's hash are the coins of a repetition."""
+    return np.random.default_rng((steps, turn, 6)).integers(1 << 62, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def walk(code: np.ndarray, at: np.ndarray, steps: int, turn: int, sieve: list[np.ndarray], fill: bool = False) -> tuple[np.ndarray, ...]:
+    """(start, key): keys of the sampled places for walks from the words ``at``, of those that ``sieve`` lets through.
+
+    With ``fill``, as for the items' own walks, the sieve takes what they give, place by place. The starts' own words were
+    looked up before, so the first place is not sieved. Words are hashed already: high bits of a product are coins and places
+    in a sieve, and an end mark, 0, makes no step.
+    """
     seed, places = _plan(steps, turn)
-    start, here, key = at, at.copy(), np.full(len(at), np.uint64(seed))
-    for j in range(places[-1] + 1):
-        word = code[here]
-        if j in places:
-            with np.errstate(over="ignore"):
+    start, here, key, coins = at, at, np.uint64(seed), _coins(steps, turn)
+    with np.errstate(over="ignore"):
+        for j in range(places[-1] + 1):
+            word = code[here]
+            if j in places:
                 key = (key ^ word) * np.uint64(0xD6E8FEB86659FD93)
-                key ^= key >> np.uint64(32)
-            go = word != 0
-            if sieve is not None:
-                go &= sieve[places.index(j)][(key >> np.uint64(3)).astype(np.int64) & ((1 << _BITS) - 1)]
-            start, here, key, word = start[go], here[go], key[go], word[go]
-        here = here + ((_mix(word, seed) >> np.uint64(j)) & np.uint64(1)).astype(np.int64) * (word != 0)
+                slot, let = (key >> np.uint64(64 - _BITS)).view(np.int64), sieve[places.index(j)]
+                if fill:
+                    let[slot[word != 0]] = True
+                if j:
+                    go = np.flatnonzero(let[slot] & (word != 0))
+                    start, here, key, word = start[go], here[go], key[go], word[go]
+            here = here + ((word * coins >> np.uint64(63 - j)) & np.uint64(1)).view(np.int64)
     return start, key
 
 
@@ -155,19 +172,19 @@ class Items:
             if not len(own):
                 continue
             at = np.concatenate([np.arange(begin[i], begin[i] + self.length[i], STRIDE) for i in own.tolist()])
+            known = np.zeros(1 << 20, bool)  # words that these items hold: a walk has to start on one
+            known[(code[at] >> np.uint64(44)).astype(np.int64)] = True
             for turn in range(ROUNDS if steps >= 4 else 1):
                 _, places = _plan(steps, turn)
                 sieve = [np.zeros(1 << _BITS, bool) for _ in places]
-                start, key = self._fill(code, at, steps, turn, sieve)
+                start, key = walk(code, at, steps, turn, sieve, fill=True)
                 order = np.argsort(key, kind="stable")
-                self.tables.append((steps, turn, sieve, key[order], item[start[order]], (start - begin[item[start]])[order]))
+                self.tables.append((steps, turn, known, sieve, key[order], item[start[order]], (start - begin[item[start]])[order]))
 
-        self.known = np.zeros(1 << 20, bool)  # words that items hold: a walk has to start on one
-        self.known[(code[real] >> np.uint64(44)).astype(np.int64)] = True
         self.grams = [g for g in (self._grams(t) for t in range(len(GRAM))) if g]
 
     def _grams(self, tier: int) -> tuple | None:
-        """Length, then items' band widths, thresholds, string hashes, their items and places, by hash."""
+        """Length, then items' band widths, thresholds, string hashes, their items and bands, by hash."""
         (q, least), above = GRAM[tier], GRAM[tier - 1][1] if tier else 1 << 60
         size = np.array([len(t) for _, t in self.rows], np.int64)
         own = np.flatnonzero((size >= least) & (size < above))
@@ -200,11 +217,13 @@ class Items:
         table = np.full(1 << _GRAM_BITS, -1, np.int32)  # the first code of each slot; its neighbours follow in order
         slot = (code >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
         table[slot[::-1]] = np.arange(len(code))[::-1]
-        return q, own, size, bound, width, table, code, first, number, weight / need[item], item.astype(np.int32), (size[item] - place).astype(np.int32)
+        # a string at t in the text is in band (t + size - place + 0.5) / width of its item: a half keeps clear of edges
+        scale = 1 / width[item]
+        return q, own, size, bound, width, table, code, first, number, weight / need[item], item, scale, (size[item] - place + 0.5) * scale
 
     def bands(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, begin, end) of the stretches of characters in which an item may stand."""
-        for q, own, size, bound, width, table, code, first, number, weight, item, back in self.grams:
+        for q, own, size, bound, width, table, code, first, number, weight, item, scale, band in self.grams:
             found = _hashes(data, q)
             k = table[(found >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)]
             at = np.flatnonzero(k >= 0)
@@ -216,12 +235,11 @@ class Items:
             at, k = at[same], k[same]
             n = number[k]
             hit = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            i = item[hit]
             cells = np.zeros(len(size) + 1, np.int64)
             cells[own + 1] = (len(data) + size[own]) // width[own] + 3
             base = np.cumsum(cells)
             # bands are numbered from the first place at which an item could begin
-            key = base[i] + ((np.repeat(at, n) + back[hit] + 0.5) * (1 / width)[i]).astype(np.int64)
+            key = (np.repeat(at.astype(np.float64), n) * scale[hit] + (base[item] + band)[hit]).astype(np.int64)
             if base[-1] <= 16 * len(key) + (1 << 16):
                 count = np.bincount(key, weight[hit], base[-1] + 1)
                 # two neighbours make a candidate, so one of them holds half of what is asked for
@@ -249,27 +267,13 @@ class Items:
                 begin, end = (c * int(width[x]) - int(size[x]) for c in (a - int(base[x]), b - int(base[x]) + 2))
                 yield x, begin - int(bound[x]), end + int(size[x]) + 2 * int(bound[x])
 
-    @staticmethod
-    def _fill(code: np.ndarray, at: np.ndarray, steps: int, turn: int, sieve: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Let through, place by place, what the items' own walks give there; (start, key) of whole walks."""
-        seed, places = _plan(steps, turn)
-        here, key = at.copy(), np.full(len(at), np.uint64(seed))
-        for j in range(places[-1] + 1):
-            word = code[here]
-            if j in places:
-                with np.errstate(over="ignore"):
-                    key = (key ^ word) * np.uint64(0xD6E8FEB86659FD93)
-                    key ^= key >> np.uint64(32)
-                at, here, key, word = at[word != 0], here[word != 0], key[word != 0], word[word != 0]
-                sieve[places.index(j)][(key >> np.uint64(3)).astype(np.int64) & ((1 << _BITS) - 1)] = True
-            here = here + ((_mix(word, seed) >> np.uint64(j)) & np.uint64(1)).astype(np.int64) * (word != 0)
-        return at, key
-
     def candidates(self, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Rows of (text, item, word place where the item would start, in fours), sorted and different."""
-        every = np.flatnonzero(self.known[(code >> np.uint64(44)).astype(np.int64)])
+        high, real = (code >> np.uint64(44)).view(np.int64), code != 0
         found = [np.empty((0, 3), np.int64)]
-        for steps, turn, sieve, keys, items, offsets in self.tables:
+        for steps, turn, known, sieve, keys, items, offsets in self.tables:
+            if not turn:
+                every = np.flatnonzero(known[high] & real)
             start, key = walk(code, every, steps, turn, sieve)
             lo, n = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
             n -= lo
@@ -331,6 +335,35 @@ def edit_distance_within(pattern: str, text: str) -> int:
     return best
 
 
+#: Strings of characters that verification looks at first, their places in a table of each pair, and pairs at once.
+_SCREEN, _SCREEN_BITS, _SCREENED = 3, 13, 512
+
+
+def plausible(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """Whether a text holds as many of a pattern's strings of three characters as any match has to.
+
+    An edit breaks three of them at most, and all others stand in the text as they are; strings that fall on one place of
+    the table only let more pairs through. So no match is lost.
+    """
+    out = np.ones(len(patterns), bool)
+    for first in range(0, len(patterns), _SCREENED):
+        own = slice(first, first + _SCREENED)
+        sides = []
+        for strings in (patterns[own], texts[own]):
+            size = np.fromiter(map(len, strings), np.int64, len(strings))
+            code = _hashes(_points("\n".join(strings)), _SCREEN)
+            lane = np.repeat(np.arange(len(size)), size + 1)[: len(code)]
+            inside = np.arange(len(code)) + _SCREEN <= (np.cumsum(size + 1) - 1)[lane]
+            lane, code = lane[inside], code[inside]
+            sides.append((size, lane, lane << _SCREEN_BITS | (code >> np.uint64(64 - _SCREEN_BITS)).view(np.int64)))
+        (size, lane, asked), (_, _, held) = sides
+        seen = np.zeros(len(size) << _SCREEN_BITS, bool)
+        seen[held] = True
+        bound = ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
+        out[own] = np.bincount(lane, seen[asked], len(size)) >= size - _SCREEN + 1 - _SCREEN * bound
+    return out
+
+
 def edit_distances(patterns: list[str], texts: list[str]) -> np.ndarray:
     """``edit_distance_within`` of many pairs at once: one bit vector of several words for each, all stepped together."""
     out = np.array([len(p) for p in patterns], np.int64)
@@ -392,12 +425,12 @@ def _stepped(patterns: list[str], texts: list[str]) -> np.ndarray:
     return best
 
 
-#: Pairs that are stepped together.
-_LANES = 2048
+#: Pairs that are stepped together, and bytes of text that are searched at once.
+_LANES, _SOUGHT = 2048, 2_000_000
 
 
-def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int]]:
-    """(text, item, distance, item length) of verified pairs, the least distance of each."""
+def _windows(items: Items, column: pa.Array) -> list[tuple[int, int, str]]:
+    """(text, item, window): where an item may stand."""
     data, bounds = text_buffers(column)
     code, start, end, doc = words(data, bounds)
     if not len(code):
@@ -418,7 +451,19 @@ def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int]]:
             begin = bounds[x] if lo == first[x] else start[lo]
             stop = bounds[x + 1] if hi == last[x] - 1 else end[hi]
             windows.append((x, y, _plain(data[begin:stop].tobytes().decode("utf-8", "replace"))))
-    windows += _by_characters(items, column)
+    return windows + list(_by_characters(items, column))
+
+
+def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int]]:
+    """(text, item, distance, item length) of verified pairs, the least distance of each.
+
+    Windows are sought in ``_SOUGHT`` bytes of text at a time, which bounds memory, and verified all together.
+    """
+    windows: list[tuple[int, int, str]] = []
+    group = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) // _SOUGHT
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:]):
+        windows += [(a + d, i, text) for d, i, text in _windows(items, column.slice(a, b - a))]
     best: dict[tuple[int, int], int] = {}
     patterns, texts, pairs = [], [], []
     for d, i, text in windows:
@@ -433,6 +478,7 @@ def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int]]:
             texts.append(text[at : at + 2 * whole])
             pairs.append((d, i))
     rest = [k for k, pair in enumerate(pairs) if pair not in best]
+    rest = [k for k, ok in zip(rest, plausible([patterns[k] for k in rest], [texts[k] for k in rest]).tolist()) if ok]
     for k, distance in zip(rest, edit_distances([patterns[k] for k in rest], [texts[k] for k in rest]).tolist()):
         if distance <= (1 - SIMILARITY) * len(patterns[k]) + 1e-9:
             best[pairs[k]] = min(distance, best.get(pairs[k], distance))
@@ -468,6 +514,22 @@ def _items(shared) -> Items:
     return _held[1]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``size`` bytes of text: smaller ones pay the fixed cost of a search more often."""
+    held, total = [], 0
+    join = lambda: held[0] if len(held) == 1 else pa.concat_batches(held)
+    for whole in batches:
+        for batch in _pieces(whole):
+            own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if held and total + own > size:
+                yield join()
+                held, total = [], 0
+            held.append(batch)
+            total += own
+    if held:
+        yield join()
+
+
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -486,18 +548,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = _items(shared)
-            for whole in batches:
-                for batch in _pieces(whole):
-                    found = matches(items, batch.column("text"))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").take(pa.array([d for d, *_ in found], pa.int64())),
-                            pa.array([items.rows[i][0] for _, i, *_ in found], pa.int64()),
-                            pa.array([x for *_, x, _ in found], pa.int32()),
-                            pa.array([1 - x / n for *_, x, n in found], pa.float64()),
-                        ],
-                        ["doc_id", "item_id", "edit_distance", "similarity"],
-                    )
+            for batch in _gathered(batches):
+                found = matches(items, batch.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array([d for d, *_ in found], pa.int64())),
+                        pa.array([items.rows[i][0] for _, i, *_ in found], pa.int64()),
+                        pa.array([x for *_, x, _ in found], pa.int32()),
+                        pa.array([1 - x / n for *_, x, n in found], pa.float64()),
+                    ],
+                    ["doc_id", "item_id", "edit_distance", "similarity"],
+                )
 
         out = out.unionByName(base.mapInArrow(tidy(run), schema))
     return out.groupBy("doc_id", "item_id").agg(
@@ -512,11 +573,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in _pieces(whole):
-                    stay = np.ones(len(batch), bool)
-                    stay[[d for d, *_ in matches(_items(shared), batch.column("text"))]] = False
-                    yield batch.filter(pa.array(stay))
+            for batch in _gathered(batches):
+                stay = np.ones(len(batch), bool)
+                stay[[d for d, *_ in matches(_items(shared), batch.column("text"))]] = False
+                yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

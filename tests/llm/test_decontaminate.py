@@ -107,3 +107,40 @@ def test_many_distances_at_once():
         pairs.append((pattern, text[:40] + edited(rng, pattern, 0.1, "mixed") + text[40:] if rng.random() < 0.5 else text))
     got = decontaminate.edit_distances([p for p, _ in pairs], [t for _, t in pairs])
     assert got.tolist() == [decontaminate.edit_distance_within(p, t) for p, t in pairs]
+
+
+def test_pairs_that_cannot_match_are_not_stepped(monkeypatch):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    pairs = []
+    for _ in range(300):
+        pattern = letters(rng.randrange(3, 200))
+        edited = list(pattern)
+        for _ in range(rng.randrange(len(pattern) // 4 + 1)):
+            edited[rng.randrange(len(edited))] = rng.choice(["", "x", "yz"])
+        pairs.append((pattern, letters(rng.randrange(50)) + "".join(edited) + letters(50)))
+    ok = decontaminate.plausible([p for p, _ in pairs], [t for _, t in pairs])
+    near = [decontaminate.edit_distance_within(p, t) <= 0.2 * len(p) for p, t in pairs]
+    assert all(o or not n for o, n in zip(ok, near)) and 0 < sum(near) < len(pairs)
+    assert not decontaminate.plausible(["abcdefgh" * 9], ["stuvwxyz" * 20])[0]
+
+
+def test_small_batches_are_searched_together():
+    texts = ["one two", None, "three" * 100, "", "four"] * 40
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    whole = list(decontaminate._gathered(batch.slice(at, 5) for at in range(0, len(texts), 5)))
+    assert len(whole) == 1 and whole[0].equals(batch)
+    some = list(decontaminate._gathered((batch.slice(at, 5) for at in range(0, len(texts), 5)), 6000))
+    assert len(some) > 1 and pa.Table.from_batches(some).combine_chunks().equals(pa.Table.from_batches([batch]))
+    assert not list(decontaminate._gathered(iter(())))
+
+
+def test_pieces_of_a_batch_give_the_same_matches(monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    rows = [(k, " ".join(word() for _ in range(20))) for k in range(5)]
+    docs = [None if k % 7 == 3 else " ".join([word() for _ in range(30)] + [rows[k % 5][1]] * (k % 2)) for k in range(40)]
+    items = decontaminate.Items(rows)
+    want = sorted(decontaminate.matches(items, pa.array(docs)))
+    monkeypatch.setattr(decontaminate, "_SOUGHT", 700)
+    assert sorted(decontaminate.matches(items, pa.array(docs))) == want and len({d for d, *_ in want}) >= 16
