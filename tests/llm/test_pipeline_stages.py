@@ -58,3 +58,27 @@ def test_defined_cases_pass_every_stage(spark, tmp_path):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 3), (False, 5), (True, 0)]
     assert next(r["n_tokens"] for r in got if r["doc_id"] == 3) == 0
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def _full_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
+def test_heaps_are_collected_before_each_stage(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(3)
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        before = _full_collections(spark)
+        stage(spark, docs, SMALL)
+        assert _full_collections(spark) > before + 1  # the driver's, and one a task: here both are in one process
+
+
+def test_a_cut_collects_much_garbage_first(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "collect", lambda s: calls.append(s))
+    monkeypatch.setattr(common, "_live", [0])
+    monkeypatch.setattr(common, "GARBAGE", 1 << 60)
+    assert common.cut(spark.range(3)).count() == 3 and not calls
+    monkeypatch.setattr(common, "GARBAGE", 0)
+    assert common.cut(spark.range(3)).count() == 3 and len(calls) == 1
