@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, cut, drop_listed, fresh_table, shuffle_partitions, small_batches, tidy
+from .common import collect, connected_components, cut, drop_listed, fresh_table, shuffle_partitions, small_batches, tidy
 from .simhash import _LOWER, SEED
 from .suffix import _batch, _open, _pack_sorted, _rows, _squeeze, _unpack_sorted
 
@@ -259,12 +259,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of set hashes whose sets are similar enough."""
-    pairs = cut(pairs)
+    pairs = _done(pairs)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     ids = cut(nodes.select("key", "doc_id").join(ends, "key"))
     # of rows that repeat a doc_id any may come; only texts with the set in question count, and equal ones count once
     known = _texts(docs, ids.select("doc_id")).join(ids, "doc_id").groupBy("doc_id", "key", "body").agg(F.count("*").alias("n"))
-    known = cut(known.select("key", "body").mapInArrow(tidy(_own), "key long, body binary"))
+    known = _done(known.select("key", "body").mapInArrow(tidy(_own), "key long, body binary"))
     both = pairs.join(known.select(F.col("key").alias("u"), F.col("body").alias("a")), "u").join(
         known.select(F.col("key").alias("v"), F.col("body").alias("b")), "v"
     )
@@ -290,6 +290,14 @@ def _possible(x: str, y: str):
     return of(F.least, "h") + after >= SIMILARITY / (1 + SIMILARITY) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
 
+def _done(df: DataFrame) -> DataFrame:
+    """``cut``, after which the shuffles that made ``df`` go at once: those of all steps together would be most of the disk."""
+    spark, out = df.sparkSession, cut(df)
+    del df
+    collect(spark)
+    return out
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) per row with a doc_id: the smallest doc_id reachable over links."""
     small_batches(docs.sparkSession)
@@ -297,24 +305,24 @@ def components(docs: DataFrame) -> DataFrame:
     packs = _packs(docs)
     every = packs.select("bid", F.posexplode(F.arrays_zip("doc_id", "key", "n", "fp")).alias("pos", "d")).select("bid", "pos", "d.*")
     nodes = every.groupBy("key").agg(F.min(F.struct("doc_id", "bid", "pos")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"))
-    nodes = cut(nodes.select("key", "at.*", "n", "fp"))
+    nodes = _done(nodes.select("key", "at.*", "n", "fp"))
 
     first = cut(nodes.groupBy("fp").agg(F.min("key").alias("key")))
-    near = cut(simhash.links(first.select("fp")))
+    near = _done(simhash.links(first.select("fp")))
     by_print = near.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v")
     by_print = by_print.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         nodes.select("fp", F.col("key").alias("u")).join(first.select("fp", F.col("key").alias("v")), "fp").where("u <> v").select("u", "v")
     )
-    held = cut(held_shingles(packs, nodes))
+    held = _done(held_shingles(packs, nodes))
     groups = held.groupBy("s").agg(F.max(F.struct("m", "key", "n", "i", "h")).alias("y"))
     stars = held.select("s", F.struct("key", "n", "i", "h").alias("x")).join(groups, "s").where("x.key <> y.key").where(_possible("x", "y"))
     stars = stars.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).unionByName(by_print)
-    stars = cut(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    links = cut(_verified(stars, nodes, docs))
-    roots = cut(connected_components(links))
+    stars = _done(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = _done(_verified(stars, nodes, docs))
+    roots = _done(connected_components(links))
     placed = held.join(roots, held.key == roots.node, "left").select("s", "key", "n", "i", "h", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    placed = cut(placed.join(mixed, "s"))
+    placed = _done(placed.join(mixed, "s"))
     x, y = (placed.select("s", F.struct("key", "n", "i", "h", "root").alias(c)) for c in "xy")
     rest = x.join(y, "s").where("x.root <> y.root and x.key > y.key").where(_possible("x", "y"))
     # shared shingles up to the last shared place are counted; after it, prefixes share none, and the rest bounds the overlap
@@ -324,8 +332,8 @@ def components(docs: DataFrame) -> DataFrame:
     room = F.col("c") + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) - 1
     rest = rest.where(room >= SIMILARITY / (1 + SIMILARITY) * (F.col("xn") + F.col("yn")) - 1e-6).select("u", "v")
     rest = rest.join(stars, ["u", "v"], "left_anti")
-    links = cut(links.unionByName(_verified(rest, nodes, docs)))
-    roots = cut(connected_components(links))
+    links = _done(links.unionByName(_verified(rest, nodes, docs)))
+    roots = _done(connected_components(links))
     tied = nodes.join(roots, nodes.key == roots.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = tied.join(least, "root").select("key", "component_id")

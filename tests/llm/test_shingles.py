@@ -43,3 +43,11 @@ def test_stage_keeps_no_near_copies(spark, monkeypatch):
     assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
     nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert corpus_pipeline.drop_near_duplicates(spark, nulls, "").count() == len(texts)
+
+
+def test_steps_release_what_made_them(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(shingles, "collect", lambda s: calls.append(s))
+    docs = spark.createDataFrame([(k, f"one two three four five six {k % 2}") for k in range(6)], "doc_id long, text string")
+    assert {r["component_id"] for r in shingles.components(docs).collect()} == {0, 1}
+    assert len(calls) >= 8
