@@ -4,15 +4,17 @@ Candidates come from two searches. SimHash over the five-word shingles links fin
 segment-popcount grid of ``simhash``; it joins large groups of all but equal texts. A Jaccard index of 0.8 is about ten
 differing bits, where that grid no longer prunes, so the rest is found by an exact prefix filter: two sets of at least
 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each, in any order that holds for all sets. The order puts
-shingles last that are frequent (every task counts all its documents); it decides how many candidates there are, not
-which links are found. Documents with equal sets are one node.
+shingles last that are frequent (every task counts all its documents, and those it sees twice are known to be); it
+decides how many candidates there are, not which links are found. Documents with equal sets are one node.
 
 Prefixes stay in packs of documents; only their sorted 64-bit values are dealt by range, as differences, and what comes
 back is which of them another set has too. Few do, and only those become rows. First each holder of such a shingle is
 compared with the holder that shares most, the likely original of a group of copies, which is linear; then holders that
-are not yet in one component are compared with each other. Set sizes, places in the order and the count of repeated
-shingles before a place bound the overlap beforehand, so edited copies that cannot be near meet no further. Every link is verified by the exact sets, made
-anew from the texts of the candidates, which are sent compressed.
+are not yet in one component are compared with each other; shingles that the same sets hold, such as those of one passage,
+count as one list there. Set sizes, places in the order and the count of repeated shingles before a place bound the
+overlap beforehand, so edited copies that cannot be near meet no further. Parities of hashed shingles bound the
+difference of the sets of what is left, and only pairs that these cannot exclude need texts. Every link is verified by
+the exact sets, made anew from the texts of the candidates, which are sent compressed.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and texts without words have the empty set and
 are copies of each other; rows without doc_id link nothing and stay; of rows that repeat a doc_id one stays; an empty
@@ -39,7 +41,7 @@ from .suffix import _batch, _open, _pack_sorted, _rows, _squeeze, _unpack_sorted
 WORDS = 5
 SIMILARITY = 0.8
 #: Frequent shingles that the order puts last (bound of a broadcast), and shingles that a task counts at once.
-FREQUENT, SEGMENT = 200_000, 1_000_000
+FREQUENT, SEGMENT = 1_000_000, 4_000_000
 #: Prefixes, in bytes, that a range of shingles stands for.
 RANGE_BYTES = 16_000_000
 #: Bits of the filter that lets candidates' texts through, as a power of two (bound of a broadcast: 1 MB).
@@ -68,6 +70,26 @@ def _key(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
 
+def mark(own: np.ndarray) -> bytes:
+    """The size of a set (32 bits), and the parities of how many of its shingles fall on each of two to four bits a shingle."""
+    bits = 1 << max(6, (2 * len(own) - 1).bit_length())
+    return len(own).to_bytes(4, "little") + _parities(own, bits)
+
+
+def _parities(own: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes) -> bool:
+    """False only if the sets of two marks are less similar than a link: each odd bit of their sum is a shingle of one only."""
+    n = int.from_bytes(a[:4], "little") + int.from_bytes(b[:4], "little")
+    x, y = np.frombuffer(a, np.uint64, offset=4), np.frombuffer(b, np.uint64, offset=4)
+    size = min(len(x), len(y))  # the low bits of a place in the longer one are the place in the shorter one
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size)) for z in (x, y))
+    return (n - int(np.bitwise_count(x ^ y).sum())) / 2 >= SIMILARITY / (1 + SIMILARITY) * n - 1e-6
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a segment share, sorted, and how many do; over all documents."""
 
@@ -75,9 +97,13 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 2
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["s", "n"])
+            every = np.concatenate(held)
+            held.clear()  # a segment is most of what a task holds
+            every.sort()
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            n = np.diff(np.append(first, len(every)))
+            often = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(every[first[often]].view(np.int64)), pa.array(n[often])], ["s", "n"])
 
         for batch in batches:
             for t in batch.column("text"):
@@ -97,8 +123,8 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packs(docs: DataFrame) -> DataFrame:
-    """(bid, doc_id, key, n, fp, payload): per batch of documents, arrays of ids, hashes of whole sets, set sizes and
-    fingerprints, and the shingles of which a near copy must share one, in order."""
+    """(bid, doc_id, key, n, fp, mark, w0 to w3, payload): per batch of documents, arrays of ids, hashes of whole sets, set
+    sizes, fingerprints and marks, and the shingles of which a near copy must share one, in order."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def prefix(own: np.ndarray) -> np.ndarray:
@@ -113,7 +139,7 @@ def _packs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bid = TaskContext.get().partitionId() << 24
         for batch in batches:
-            keys, sizes, firsts, fps = [], [], [], []
+            keys, sizes, firsts, fps, marks, words = [], [], [], [], [], []
             for t in batch.column("text"):
                 every = _hashes(t.as_py())
                 own = np.unique(every)
@@ -121,8 +147,10 @@ def _packs(docs: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 firsts.append(prefix(own))
                 fps.append(simhash.vote(every))
+                marks.append(mark(own))
+                words.append(_parities(own, 256))
             counts = np.array([len(x) for x in firsts], "<u4")
-            row = bid, batch.column("doc_id").to_pylist(), keys, sizes, np.array(fps, np.uint64).view(np.int64).tolist(), _squeeze(counts, np.concatenate([*firsts, np.empty(0, np.uint64)]))
+            row = bid, batch.column("doc_id").to_pylist(), keys, sizes, np.array(fps, np.uint64).view(np.int64).tolist(), marks, *np.frombuffer(b"".join(words), np.int64).reshape(-1, 4).T.tolist(), _squeeze(counts, np.concatenate([*firsts, np.empty(0, np.uint64)]))
             yield _batch(_PACK_NAMES, _PACK_KINDS, [row])
             bid += 1
 
@@ -132,9 +160,11 @@ def _packs(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-_PACK_NAMES = ["bid", "doc_id", "key", "n", "fp", "payload"]
-_PACK_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-_PACK_SCHEMA = "bid long, doc_id array<long>, key array<long>, n array<int>, fp array<long>, payload binary"
+#: Columns of a mark of 256 bits, for joins.
+_WORDS = ["w0", "w1", "w2", "w3"]
+_PACK_NAMES = ["bid", "doc_id", "key", "n", "fp", "mark", *_WORDS, "payload"]
+_PACK_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 4, pa.binary()]
+_PACK_SCHEMA = "bid long, doc_id array<long>, key array<long>, n array<int>, fp array<long>, mark array<binary>, w0 array<long>, w1 array<long>, w2 array<long>, w3 array<long>, payload binary"
 
 
 def _prefixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,9 +287,27 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of set hashes whose sets are similar enough."""
-    pairs = _done(pairs)
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their marks -> those that the marks do not exclude."""
+    for batch in batches:
+        good = [may_link(a.as_py(), b.as_py()) for a, b in zip(batch.column("a"), batch.column("b"))]
+        yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
+
+
+def screened(pairs: DataFrame, packs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of set hashes whose marks leave room for a link."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    marks = packs.select(F.explode(F.arrays_zip("key", "mark")).alias("d")).select("d.*").join(ends, "key")
+    marks = cut(marks.groupBy("key").agg(F.first("mark").alias("mark")))
+    both = pairs.join(marks.select(F.col("key").alias("u"), F.col("mark").alias("a")), "u").join(
+        marks.select(F.col("key").alias("v"), F.col("mark").alias("b")), "v"
+    )
+    return both.select("u", "v", "a", "b").mapInArrow(tidy(_screen), "u long, v long")
+
+
+def _verified(pairs: DataFrame, packs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of set hashes whose sets are similar enough; ``pairs`` is read more than once."""
+    pairs = _done(screened(pairs, packs))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     ids = cut(nodes.select("key", "doc_id").join(ends, "key"))
     # of rows that repeat a doc_id any may come; only texts with the set in question count, and equal ones count once
@@ -290,6 +338,29 @@ def _possible(x: str, y: str):
     return of(F.least, "h") + after >= SIMILARITY / (1 + SIMILARITY) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
 
+def shared_lists(placed: DataFrame) -> DataFrame:
+    """(one, two, key, n, root, i, h, j, c): holders of shingles (s, key, n, i, h, root) that several components hold.
+
+    Shingles with the same holders are one list, named by (one, two): of its c shingles a holder has the first at place
+    i, after h repeated ones, and the last at place j. The order is one for all sets, so these are the same shingles in
+    all holders.
+    """
+    named = placed.groupBy("s").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"),
+    ).where("lo < hi").select("s", "one", "two")
+    return placed.join(named, "s").groupBy("one", "two", "key").agg(
+        F.min("n").alias("n"), F.min("root").alias("root"), F.min("i").alias("i"), F.min("h").alias("h"),
+        F.max("i").alias("j"), F.count("*").alias("c"),
+    )
+
+
+def _alike(x: str, y: str):
+    """Whether marks of 256 bits leave room for a link."""
+    odd = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
+    return odd <= (1 - 2 * SIMILARITY / (1 + SIMILARITY)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+
+
 def _done(df: DataFrame) -> DataFrame:
     """``cut``, after which the shuffles that made ``df`` go at once: those of all steps together would be most of the disk."""
     spark, out = df.sparkSession, cut(df)
@@ -303,9 +374,9 @@ def components(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     packs = _packs(docs)
-    every = packs.select("bid", F.posexplode(F.arrays_zip("doc_id", "key", "n", "fp")).alias("pos", "d")).select("bid", "pos", "d.*")
-    nodes = every.groupBy("key").agg(F.min(F.struct("doc_id", "bid", "pos")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"))
-    nodes = _done(nodes.select("key", "at.*", "n", "fp"))
+    every = packs.select("bid", F.posexplode(F.arrays_zip("doc_id", "key", "n", "fp", *_WORDS)).alias("pos", "d")).select("bid", "pos", "d.*")
+    nodes = every.groupBy("key").agg(F.min(F.struct("doc_id", "bid", "pos")).alias("at"), *(F.min(c).alias(c) for c in ("n", "fp", *_WORDS)))
+    nodes = _done(nodes.select("key", "at.*", "n", "fp", *_WORDS))
 
     first = cut(nodes.groupBy("fp").agg(F.min("key").alias("key")))
     near = _done(simhash.links(first.select("fp")))
@@ -318,21 +389,20 @@ def components(docs: DataFrame) -> DataFrame:
     stars = held.select("s", F.struct("key", "n", "i", "h").alias("x")).join(groups, "s").where("x.key <> y.key").where(_possible("x", "y"))
     stars = stars.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).unionByName(by_print)
     stars = _done(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    links = _done(_verified(stars, nodes, docs))
+    links = _done(_verified(stars, packs, nodes, docs))
     roots = _done(connected_components(links))
     placed = held.join(roots, held.key == roots.node, "left").select("s", "key", "n", "i", "h", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    placed = _done(placed.join(mixed, "s"))
-    x, y = (placed.select("s", F.struct("key", "n", "i", "h", "root").alias(c)) for c in "xy")
-    rest = x.join(y, "s").where("x.root <> y.root and x.key > y.key").where(_possible("x", "y"))
+    lists = _done(shared_lists(placed).join(nodes.select("key", *_WORDS), "key"))
+    x, y = (lists.select("one", "two", F.struct("key", "n", "i", "h", "j", "c", "root", *_WORDS).alias(k)) for k in "xy")
+    rest = x.join(y, ["one", "two"]).where("x.root <> y.root and x.key > y.key").where(_possible("x", "y") & _alike("x", "y"))
     # shared shingles up to the last shared place are counted; after it, prefixes share none, and the rest bounds the overlap
     rest = rest.groupBy(F.col("x.key").alias("u"), F.col("y.key").alias("v")).agg(
-        F.count("*").alias("c"), *(f(f"{s}.{c}").alias(s + c) for s in "xy" for f, c in ((F.first, "n"), (F.max, "i")))
+        F.sum("x.c").alias("c"), *(f(f"{s}.{c}").alias(s + c) for s in "xy" for f, c in ((F.first, "n"), (F.max, "j")))
     )
-    room = F.col("c") + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) - 1
+    room = F.col("c") + F.least(F.col("xn") - F.col("xj"), F.col("yn") - F.col("yj")) - 1
     rest = rest.where(room >= SIMILARITY / (1 + SIMILARITY) * (F.col("xn") + F.col("yn")) - 1e-6).select("u", "v")
-    rest = rest.join(stars, ["u", "v"], "left_anti")
-    links = _done(links.unionByName(_verified(rest, nodes, docs)))
+    rest = _done(rest.join(stars, ["u", "v"], "left_anti"))
+    links = _done(links.unionByName(_verified(rest, packs, nodes, docs)))
     roots = _done(connected_components(links))
     tied = nodes.join(roots, nodes.key == roots.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
