@@ -204,6 +204,15 @@ def _stretch_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.n
     return starts, ends - starts, m[starts], doc[starts], mark
 
 
+def _dealt(place: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
+    """Each number below ``ranges`` in ``place``, and where it stands, in order: by one sort, however many ranges there are."""
+    place = place.astype(np.uint16 if ranges <= 1 << 16 else np.int64)  # 16 bits are sorted by counting
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    edges = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)] if len(place) else [0]
+    return [(int(place[a]), order[a:b]) for a, b in zip(edges, edges[1:])]
+
+
 def _anchor_lists(ranges: int, bits: int) -> Callable:
     """Chunk -> its distinct anchors by range, a flag for those that two of its documents have, and further strings."""
 
@@ -222,10 +231,8 @@ def _anchor_lists(ranges: int, bits: int) -> Callable:
                 anchor = anchor[first]
                 low = anchor & np.uint64((1 << 40) - 1)
                 more = np.minimum(np.searchsorted(kinds, low, side="right") - np.searchsorted(kinds, low) - 1, 65535)
-                place = (anchor % np.uint64(ranges)).astype(np.int64)
                 rows = []
-                for p in np.unique(place).tolist():
-                    own = place == p
+                for p, own in _dealt(anchor % np.uint64(ranges), ranges):
                     rows.append((p, row["bid"], _squeeze(_pack_sorted(anchor[own] // np.uint64(ranges)), np.packbits(several[own]), more[own].astype("<u2"))))
                 yield _batch(["p", "bid", "anchors"], [pa.int32(), pa.int64(), pa.binary()], rows)
 
