@@ -2,9 +2,12 @@
 
 1. Documents are packed, a few MB at a time, into chunks in the shared folder, each sorted by doc_id.
 2. Every window of ``LENGTH`` bytes has an anchor: the least hash of the ``GRAM``-byte strings in it. Equal windows have
-   equal anchors, so windows whose anchor occurs in one document only cannot match another and are left out. Chunks send
-   their distinct anchors, packed by range, and get back those that some other document has too.
-3. Runs of successive windows with one such anchor are sent as one string of at most ``PIECE`` bytes, each distinct one
+   equal anchors at equal places, and reach ``SIDE`` bytes or more beyond the anchor on its left or on its right. So each
+   anchor has two contexts, the anchor with ``SIDE`` bytes before it and with as many after it, and windows whose context
+   occurs in one document only cannot match another and are left out. Short strings that recur by chance, ever more of
+   them in a larger input, are thus told from repeated text before anything is sent or indexed. Chunks send their distinct
+   contexts, packed by range of their anchor, and get back those that some other document has too.
+3. Runs of successive windows that are left, with one anchor, are sent as one string of at most ``PIECE`` bytes, each distinct one
    once a chunk with the least doc_id that the chunk has for it, to the block of its anchor, so all equal windows meet in
    one block. Later documents of the chunk that hold the string are covered by that first one, which the chunk knows by
    itself; a passage that a third of all documents share thus sends one string a chunk. An anchor with more than ``HOT``
@@ -40,9 +43,11 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_table, shuffle_partitions, small_batches, text_buffers, tidy
 
 LENGTH, GRAM, PIECE = 50, 18, 80
+#: Bytes beside an anchor that every window has on one side of it at least.
+SIDE = (LENGTH - GRAM) // 2
 CHUNK_BYTES = 3_000_000
-#: Bytes of a chunk whose anchors are sought at once; a longer document is one stretch.
-STRETCH_BYTES = 400_000
+#: Bytes of a chunk whose anchors are sought at once; a longer document is one stretch. Its arrays stay in a core's cache.
+STRETCH_BYTES = 100_000
 #: Text a block stands for, and the parts in which a block is indexed one after the other.
 BLOCK_BYTES = 32_000_000
 #: Input that a bucket of chunks stands for, and as many buckets as Spark allows by default.
@@ -152,26 +157,30 @@ def _load(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]
 
 
 def anchor_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor, document, mark) of each run of successive windows of one document with one anchor.
+    """(start, windows, anchor, document, mark) of each run of successive windows of one document with one anchor, and
+    (run, place, left, right) of each place where a run has its anchor, by run.
 
-    mark: 24 bits that tell different strings of one anchor apart, nearly always; used for counting only. Runs end with
-    their document, so documents are taken a stretch at a time: some twenty words of 8 bytes are held per byte of it.
+    mark: 24 bits that tell different strings of one anchor apart, nearly always; used for counting only. left, right:
+    64-bit hashes of the anchor with ``SIDE`` bytes before or after it; without meaning where no window of the run holds
+    them. Runs end with their document, so documents are taken a stretch at a time: some thirty words of 8 bytes are held
+    per byte of it.
     """
-    found, a = [], 0
+    found, a, runs = [], 0, 0
     while a < len(bounds) - 1:
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + STRETCH_BYTES, side="right")) - 1)
-        start, windows, anchor, doc, mark = _stretch_runs(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], bits)
-        found.append((start + bounds[a], windows, anchor, doc + a, mark))
-        a = b
+        start, windows, anchor, doc, mark, run, place, left, right = _stretch_runs(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], bits)
+        found.append((start + bounds[a], windows, anchor, doc + a, mark, run + runs, place + bounds[a], left, right))
+        a, runs = b, runs + len(start)
     return tuple(map(np.concatenate, zip(*found))) if found else _stretch_runs(data, bounds, bits)
 
 
 def _stretch_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """``anchor_runs`` of a few documents."""
-    none = np.empty(0, np.int64)
+    none, word = np.empty(0, np.int64), np.empty(0, np.uint64)
+    nothing = none, none, word, none, word, none, none, word, word
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+        return nothing
     with np.errstate(over="ignore"):
         power = lambda k: np.uint64(pow(_BASE, k, 1 << 64))
         h = _MIX[data]
@@ -179,29 +188,80 @@ def _stretch_runs(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.n
         h = two
         for k in (2, 4, 8):
             h = h[:-k] * power(k) + h[k:]
-        h = h[: len(h) - 2] * power(2) + two[16:]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - bits)
+        side = h
+        gram = h[: len(h) - 2] * power(2) + two[16:]
+        h = np.maximum(_mixed(gram) >> np.uint64(64 - bits), np.uint64(1))  # 0 is less than any
     m, width = h, 1
     while width < 32:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
     m = np.minimum(m[:n], h[32 : 32 + n])
     size = np.diff(bounds)
-    doc = np.repeat(np.arange(len(size)), size)[:n]
-    valid = np.arange(n) + LENGTH <= bounds[1:][doc]
+    doc = np.repeat(np.arange(len(size)), size)
+    valid = np.arange(n) + LENGTH <= bounds[1:][doc[:n]]
     start = valid.copy()
-    start[1:] &= (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
+    start[1:] &= (m[1:] != m[:-1]) | (doc[1:n] != doc[: n - 1]) | ~valid[:-1]
     starts = np.flatnonzero(start)
     if not len(starts):
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+        return nothing
     # a run ends where the next one starts or its document has no further window
     ends = np.minimum(np.append(starts[1:], n), bounds[1:][doc[starts]] - LENGTH + 1)
     with np.errstate(over="ignore"):
         mark = (h[starts] * np.uint64(_BASE) + h[ends - 1 + LENGTH - GRAM]) * np.uint64(_BASE) + (ends - starts).astype(np.uint64)
         mark = (mark * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-    return starts, ends - starts, m[starts], doc[starts], mark
+    # an anchor stands where the largest least hash of the windows around is the place's own
+    most = np.zeros(n + 64, np.uint64)
+    most[32 : 32 + n] = m * valid
+    width = 1
+    while width < 32:
+        most = np.maximum(most[:-width], most[width:])
+        width *= 2
+    most = np.maximum(most[: n + 32], most[1 : n + 33])
+    place = np.flatnonzero(most == h)
+    # runs and their anchors follow each other in the same order; places of one run are neighbours
+    fresh = np.append(True, (h[place[1:]] != h[place[:-1]]) | (doc[place[1:]] != doc[place[:-1]]))
+    with np.errstate(over="ignore"):
+        left = _mixed(side[np.maximum(place - SIDE, 0)] * power(GRAM) + gram[place])
+        right = _mixed(gram[place] * power(SIDE) + side[np.minimum(place + GRAM, len(side) - 1)] + np.uint64(1))
+    return starts, ends - starts, m[starts], doc[starts], mark, np.cumsum(fresh) - 1, place, left, right
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _context_bits(ranges: int, bits: int) -> int:
+    """Bits of a context below those that number its range: as few contexts share a value as anchors do."""
+    return min(max(16, bits - ranges.bit_length() + 1), 63 - ranges.bit_length())
+
+
+def contexts(found: tuple[np.ndarray, ...], ranges: int, bits: int) -> tuple[np.ndarray, ...]:
+    """(key, run, from, to) of each context of the runs that ``anchor_runs`` found: windows of the run from one to before
+    the other hold it. The range of the anchor stands above ``_context_bits`` in the key.
+
+    A run with its anchor at several places may hold windows with several of them. It has the contexts of each place, and
+    one of the anchor alone, and each stands for the whole run.
+    """
+    start, windows, anchor, _, _, run, place, left, right = found
+    several = np.bincount(run, minlength=len(start)) > 1
+    end, below = start + windows, np.uint64(_context_bits(ranges, bits))
+    has_left, has_right = start[run] <= place - SIDE, end[run] > place - SIDE
+    with np.errstate(over="ignore"):
+        alone = np.flatnonzero(several)
+        which = np.concatenate([run[has_left], run[has_right], alone])
+        key = np.concatenate([left[has_left], right[has_right], _mixed(anchor[alone] * np.uint64(_BASE))]) >> (np.uint64(64) - below)
+    first = np.concatenate([start[run[has_left]], np.maximum(start[run], place - SIDE)[has_right], start[alone]])
+    last = np.concatenate([np.minimum(end[run], place - SIDE + 1)[has_left], end[run[has_right]], end[alone]])
+    whole = several[which]
+    first[whole], last[whole] = start[which[whole]], end[which[whole]]
+    return (anchor[which] % np.uint64(ranges)) << below | key, which, first, last
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for whole numbers a plain sort is faster than ``np.unique``."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 def _dealt(place: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
@@ -213,80 +273,105 @@ def _dealt(place: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
     return [(int(place[a]), order[a:b]) for a, b in zip(edges, edges[1:])]
 
 
-def _anchor_lists(ranges: int, bits: int) -> Callable:
-    """Chunk -> its distinct anchors by range, a flag for those that two of its documents have, and further strings."""
+def _context_lists(ranges: int, bits: int) -> Callable:
+    """Chunk -> its distinct contexts by range, a flag for those that two of its documents have, and anchors with further strings."""
+    below = _context_bits(ranges, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 _, _, data, bounds = _load(row["payload"])
-                _, _, anchor, doc, mark = anchor_runs(data, bounds, bits)
-                kinds = np.unique(anchor << np.uint64(24) | mark) >> np.uint64(24)  # by the low 40 bits
-                order = np.argsort(anchor, kind="stable")
-                anchor, doc = anchor[order], doc[order]
-                first = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] ^ np.uint64(1)) != 0) if len(anchor) else []
-                if not len(first):
+                found = anchor_runs(data, bounds, bits)
+                _, _, anchor, doc, mark, *_ = found
+                if not len(anchor):
                     continue
-                several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
-                anchor = anchor[first]
+                kinds = _distinct(anchor << np.uint64(24) | mark) >> np.uint64(24)  # by the low 40 bits
+                kinds, more = np.unique(kinds[1:][kinds[1:] == kinds[:-1]], return_counts=True)
+                anchor = _distinct(anchor)
                 low = anchor & np.uint64((1 << 40) - 1)
-                more = np.minimum(np.searchsorted(kinds, low, side="right") - np.searchsorted(kinds, low) - 1, 65535)
-                rows = []
-                for p, own in _dealt(anchor % np.uint64(ranges), ranges):
-                    rows.append((p, row["bid"], _squeeze(_pack_sorted(anchor[own] // np.uint64(ranges)), np.packbits(several[own]), more[own].astype("<u2"))))
-                yield _batch(["p", "bid", "anchors"], [pa.int32(), pa.int64(), pa.binary()], rows)
+                at = np.searchsorted(kinds, low)
+                own = np.flatnonzero(np.append(kinds, np.uint64(1 << 63))[at] == low)
+                anchor, more = anchor[own], np.minimum(more[at[own]], 65535)
+                further = dict(_dealt(anchor % np.uint64(ranges), ranges))
+                key, which, _, _ = contexts(found, ranges, bits)
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[which[order]]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
+                key = key[first]
+                place = key >> np.uint64(below)
+                key &= np.uint64((1 << below) - 1)
+                edges = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+                rows, none = [], np.empty(0, np.int64)
+                for a, b in zip(edges, edges[1:]):
+                    own = further.get(p := int(place[a]), none)
+                    rows.append((p, row["bid"], _squeeze(
+                        _pack_sorted(key[a:b]), np.packbits(several[a:b]), _pack_sorted(anchor[own] // np.uint64(ranges)), more[own].astype("<u2"),
+                    )))
+                yield _batch(["p", "bid", "contexts"], [pa.int32(), pa.int64(), pa.binary()], rows)
 
     return run
 
 
 def _repeated(ranges: int) -> Callable:
-    """Anchors of one range from all chunks -> for each chunk, those that another document has, and the hot ones."""
+    """Contexts of one range from all chunks -> for each chunk, those that another document has, and the hot anchors of the range."""
 
     def run(table: pa.Table) -> pa.Table:
-        p = np.uint64(table.column("p")[0].as_py())
+        p = table.column("p")[0].as_py()
         bids = table.column("bid").to_pylist()
-        lists, flags, extra = [], [], []
-        for blob in table.column("anchors"):
-            packed, bits, more = _open(blob.as_py())
-            extra.append(np.frombuffer(more, "<u2"))
+        lists, flags, anchors, extra = [], [], [], []
+        for blob in table.column("contexts"):
+            packed, bits, further, more = _open(blob.as_py())
             lists.append(_unpack_sorted(packed))
             flags.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(lists[-1])).astype(bool))
+            anchors.append(_unpack_sorted(further))
+            extra.append(np.frombuffer(more, "<u2"))
+        hot, which = np.unique(np.concatenate(anchors), return_inverse=True)
+        hot = hot[np.bincount(which, np.concatenate(extra), len(hot)) > HOT] * np.uint64(ranges) + np.uint64(p)
         every = np.concatenate(lists)
-        value, which, chunks_with = np.unique(every, return_inverse=True, return_counts=True)
-        hot = np.bincount(which, np.concatenate(extra)) > HOT
-        both = np.unique(every[np.concatenate(flags)])
-        rows = []
-        for bid, own in zip(bids, lists):
-            at = np.searchsorted(value, own)
-            keep = chunks_with[at] > 1
-            if len(both):
-                keep |= both[np.minimum(np.searchsorted(both, own), len(both) - 1)] == own
-            if keep.any():
-                rows.append((bid, _squeeze((own[keep] * np.uint64(ranges) + p).astype("<u8"), np.packbits(hot[at[keep]]))))
+        order = np.argsort(every)
+        first = np.append(True, every[order[1:]] != every[order[:-1]])
+        keep = np.concatenate(flags)
+        keep[order] |= ~(first & np.append(first[1:], True))
+        rows, ends = [], np.cumsum([len(x) for x in lists]).tolist()
+        for bid, own, a, b in zip(bids, lists, [0, *ends[:-1]], ends):
+            if keep[a:b].any():
+                rows.append((bid, _squeeze(np.array([p], "<u4"), _pack_sorted(own[keep[a:b]]), hot.astype("<u8"))))
         return pa.Table.from_batches([_batch(["bid", "found"], [pa.int64(), pa.binary()], rows)])
 
     return run
 
 
+def _left(found: tuple[np.ndarray, ...], keys: np.ndarray, ranges: int, bits: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor, document) of what is left of the runs: their windows with a context among the sorted ``keys``."""
+    start, windows, anchor, doc, *_ = found
+    key, which, first, last = contexts(found, ranges, bits)
+    order = np.argsort(key)  # sought in order, which is faster
+    at = np.minimum(np.searchsorted(keys, key[order]), len(keys) - 1)
+    hit = order[keys[at] == key[order]]
+    a, b = start + windows, start.copy()
+    np.minimum.at(a, which[hit], first[hit])
+    np.maximum.at(b, which[hit], last[hit])
+    keep = np.flatnonzero(a < b)
+    return a[keep], (b - a)[keep], anchor[keep], doc[keep]
+
+
 # strings
 
 
 def _strings(blocks: int, bits: int) -> Callable:
-    """Chunk and its repeated anchors -> distinct strings by block, with doc_ids and places of their occurrences."""
+    """Chunk and its repeated contexts -> distinct strings by block, with doc_ids and places of their occurrences."""
+    below = np.uint64(_context_bits(blocks, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 _, ids, data, bounds = _load(row["payload"])
-                opened = [_open(x) for x in row["found"]]
-                anchors = np.concatenate([np.frombuffer(a, "<u8") for a, _ in opened])
-                hot = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(a) // 8) for a, b in opened])
-                order = np.argsort(anchors)
-                anchors, hot = anchors[order], hot[order].astype(bool)
-                start, count, anchor, doc, _ = anchor_runs(data, bounds, bits)
-                at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
-                keep = anchors[at] == anchor
-                start, count, anchor, doc, hot = start[keep], count[keep], anchor[keep], doc[keep], hot[at[keep]]
+                opened = sorted((int(np.frombuffer(p, "<u4")[0]), keys, hot) for p, keys, hot in map(_open, row["found"]))
+                keys = np.concatenate([np.uint64(p) << below | _unpack_sorted(k) for p, k, _ in opened])
+                often = np.frombuffer(b"".join(h for _, _, h in opened), "<u8")
+                start, count, anchor, doc = _left(anchor_runs(data, bounds, bits), keys, blocks, bits)
+                hot = np.isin(anchor, often)
                 step = np.where(hot, 1, PIECE - LENGTH + 1)
                 pieces = -(-count // step)
                 which = np.repeat(np.arange(len(start)), pieces)
@@ -501,7 +586,7 @@ def covered(docs: DataFrame) -> DataFrame:
     packed = chunks(docs, size)
     blocks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
     bits = min(64, SPARE_BITS + int(size).bit_length())
-    lists = packed.mapInArrow(tidy(_anchor_lists(blocks, bits)), "p int, bid long, anchors binary")
+    lists = packed.mapInArrow(tidy(_context_lists(blocks, bits)), "p int, bid long, contexts binary")
     found = lists.groupBy("p").applyInArrow(tidy(_repeated(blocks)), "bid long, found binary")
     found = cut(found.groupBy("bid").agg(F.collect_list("found").alias("found")))
     strings = packed.join(found, "bid").select("bid", "payload", "found")
